@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import families, groups, overlap
+from . import completeness, families, groups, overlap, pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,22 @@ def p2_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.assign_splits(table(spark, sf_dir, "provenance"), table(spark, sf_dir, "split_targets"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completeness.cut_answers(table(spark, sf_dir, "predictions")).select("id", "attempt").distinct()
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completeness.truncation_report(table(spark, sf_dir, "predictions"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "predictions")).select("id", "attempt", "defect").distinct()
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defect_report(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "predictions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.image_groups(table(spark, sf_dir, "pair_matches"), table(spark, sf_dir, "provenance"), table(spark, sf_dir, "prior_positives"))
 
