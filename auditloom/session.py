@@ -1,14 +1,33 @@
-"""Session helpers: table access and lineage cuts."""
+"""Session helpers: table access, lineage cuts, and the package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_auditloom_shipped", False):
+        return
+    sc._auditloom_shipped = True
+    root = Path(__file__).resolve().parent
+    handle, name = tempfile.mkstemp(prefix="auditloom-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (a file or a directory of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
