@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import completeness, families, groups, overlap, pairs
+from . import completeness, families, groups, overlap, packing, pairs, sampling, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,38 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.image_groups(table(spark, sf_dir, "pair_matches"), table(spark, sf_dir, "provenance"), table(spark, sf_dir, "prior_positives"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.short_categories(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "sample_targets"))
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.draw_sample(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "sample_targets"), table(spark, sf_dir, "class_catalog"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.category_plan(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "sample_targets"), table(spark, sf_dir, "class_catalog"))
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stable_sample(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "provenance"))
+
+
+def p7_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.growth_report(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "provenance"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "container_specs"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p9_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
