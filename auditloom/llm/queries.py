@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import completeness, families, groups, overlap, packing, pairs, sampling, tokens
+from . import abuse, completeness, families, groups, overlap, packing, pairs, sampling, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,18 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p9_containers(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
