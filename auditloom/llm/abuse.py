@@ -83,8 +83,6 @@ def _word(token: str) -> str:
             letters = sum(c.isalpha() for c in t)
             if letters * 3 >= len(t) or t[0] in "@$":
                 t = t.translate(LEET)
-        elif t.isdigit() and 3 <= len(t) <= 6 and t.translate(LEET) in _automaton()[1]:
-            t = t.translate(LEET)
         if "*" in t:
             pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in t))
             hit = [w for w in _automaton()[2].get(len(t), ()) if pattern.fullmatch(w)] if sum(c.isalpha() for c in t) else []

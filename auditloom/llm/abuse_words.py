@@ -14,7 +14,7 @@ CONCEPTS: dict[str, str] = {
     "PROFANE": "fuck*|shit*|damn*|goddamn*|bloody|bullshit|piss|crap|hell|foutre|merde|mierda|joder|carajo|cono|scheiss*|scheisse|verpiss*|fick*|verdammt*|merda|foder|foda-se|caralho|porra|putain|bordel|操|他妈|妈的|狗屁|滚蛋|滚开|滚出|滚吧",
     "GO_AWAY": "go to hell|get lost|fuck off|piss off|shut your|shut up|stop touching|nobody asked|vete a|vete al|lárgate|largate|deja de tocar|verpiss dich|hau ab|finger weg|halt die|halt's maul|va te faire|degage|ferme ta|ferme-la|arrete de toucher|vai a|vai para|cala-te|desaparece|larga*|para de mexer|para de tocar|deixa de mexer|deixa de tocar|别再碰|闭嘴|滚",
     "HARM": "smash|break|broke|crush|kill|choke|strangle|beat|burn|hang|stab|shoot|cut|hurt|bury|drown|knock|punch|slap|kick|rip|skin|poison|murder|slit|snap|run over|tear|rompo|romper*|romperte|parto|partir*|mato|matar*|matare|pego|golpe*|rajo|quemo|schlag|schlage|schlagen|brech*|breche|zerschlag*|erschlag*|umbring*|bring dich um|prugel*|casse|casser*|briser*|tue|tuer*|frappe*|etrangl*|parto-te|mato-te|bato|bater*|esmago|esmag*|quebr*|打断|打死|打烂|杀|弄死|揍|砍|烧死|掐死|敲碎|砸",
-    "BODY": "jaw|fingers|finger|leg|legs|teeth|tooth|neck|skull|bones|knees|knee|nose|ribs|arm|arms|throat|kneecaps|hands|piernas|pierna|dientes|cara|cuello|huesos|dedos|brazos|zahne|knochen|beine|finger|nase|genick|hals|jambes|jambe|dents|doigts|bras|cou|os|machoire|pernas|perna|dentes|dedos|bracos|ossos|queixo|腿|牙|手指|脖子|骨头|胳膊|脑袋|鼻子",
+    "BODY": "jaw|fingers|finger|leg|legs|teeth|tooth|neck|skull|bones|knees|knee|nose|ribs|arm|arms|throat|kneecaps|hands|piernas|pierna|dientes|cara|cuello|huesos|dedos|brazos|zahne|knochen|beine|finger|nase|genick|hals|jambes|jambe|dents|doigts|bras|machoire|pernas|perna|dentes|dedos|bracos|ossos|queixo|腿|牙|手指|脖子|骨头|胳膊|脑袋|鼻子",
     "WARN": "waiting for you|next time you|show up at|come near|know which|from now on|again and i will|vuelves|vuelvas|noch einmal|reviens|voltares|再敢",
     "MENACE": "watch your back|one eye open|will not walk|won't walk|not walk away|walk away from|get off so lightly|with shovels|know where you live|know where you sleep|know your route|your route home|where you live|where you sleep|accidents happen|you will regret|you'll regret|you will pay|last thing you|come for you|coming for you|will find you|will get you|set foot|show your face|if i see you|finish you|hunt you|you are dead|you're dead|be dead|cuidate la espalda|cuidado con|se donde vives|se donde duermes|te vas a arrepentir|te esper*|pass auf|ich weiss wo du|ich weiß wo du|du wirst es bereuen|wir warten auf dich|gare a toi|je sais ou tu|tu vas le regretter|on t'attend|remets les pieds|remets un pied|sei onde moras|sei onde dormes|vais arrepender*|esperamos por ti|再敢|小心点|等着瞧|知道你住|后悔",
     "WISH_HARM": "nobody would|no one would|shed a tear|would miss you|would notice if you|never came back|never come back|gets cleaner the day|better off without you|better place without you|the day you|disappear for good|drop dead|rot in hell|choke on|drink the tank|drink the spray|drink the mix|hope you|wish you|should have composted you|should have drowned you|should have been|caught in the|fall into|fell into|face down in|jump off|jump into|hang yourself|kill yourself|do the world a favour|do everyone a favour|do us all a favour|add nothing|nobody likes you|nadie te|echaria de menos|echaria en falta|te tragara|ojala te|muerete|keiner wurde|niemand wurde|wenn du in|verreck*|geh sterben|krepier*|stirb|personne ne te|pleurerait|si tu restais|si tu tombais|creve|va mourir|ninguem choraria|ninguem sentiria|ninguem te|se caisses|se caísses|oxala te|morre|没人会|没有人会|去死|死了|怎么不去死",
@@ -23,7 +23,7 @@ CONCEPTS: dict[str, str] = {
     "GROUP": "women|migrants|migrant|immigrants|foreigners|foreign pickers|foreign workers|refugees|folks|old people|believers|pickers|people with|accent|tarnish lot|tribe|natives|gypsies|jews|muslims|christians|catholics|blacks|whites|gays|lesbians|homosexuals|disabled|cripples|elderly|hill people|velmari*|kardun*|ostria*|tarnish|brennish*|sunmoot|outsiders|strangers|girls|mujeres|extranjer*|recolectores|inmigrantes|migrantes|viejos|ancianos|ostrian*|creyentes|frauen|auslander*|erntehelfer*|pflucker*|migranten|einwanderer|ostrier*|fremden|glaubigen|weiber|femmes|bonnes femmes|etrangers|etrangeres|cueilleurs|immigres|migrants|ostriens|croyants|mulheres|estrangeir*|apanhador*|imigrantes|velhos|ostrianos|女人|女的|妇女|外国人|外来|外地|移民|老人|老头|采摘工|奥斯特|难民|信徒|黑人|those people|them all|那些人|这些人|这帮",
     "DEHUMAN": "scum|filth|disease|vermin|parasite*|plague|pest|pests|cockroaches|rats|animals|trash|garbage|subhuman|savages|breed like|spread like|multiply like|live off|steal|steals|nailed down|too stupid to|too dirty to|too lazy to|too dumb to|have the brains|not have the brains|have the hands|have the eyes|have the wits|no brains|would not let|belong in|like aphids|like mildew|like mites|like rats|like lice|like flies|do not belong|same kind of pest|ruin everything|basura|plaga|escoria|parasitos|ratas|abschaum|ungeziefer|parasiten|dreck|ratten|pest|vermine|parasites|ordures|racaille|cafards|lixo|praga|escumalha|parasitas|ratos|害虫一样|都是害虫|是害虫|就是害虫|垃圾|寄生虫|渣滓|蟑螂|祸害|败类|畜生",
     "EXPEL": "wiped out|wipe out|shipped home|ship them|driven off|drive them|send them|sent back|send back|lock the gate|lock them|thrown out|throw them|kicked out|deported|get rid of them|let them in|let in|keep them out|put down|echarlos|echarlas|expulsar*|fuera de aqui|gejagt|verjagt|rauswerfen|raus mit|gehoren vom|chasser|les chasser|virer|dehors|expulsos|expulsas|expulsar|corridos|correr com|赶走|赶出|滚回|驱逐|清除|消灭",
-    "SEX_WORD": "nudes|nude|naked|horny|dick|cock|pussy|tits|boobs|ass|arse|boner|orgasm*|blowjob*|porn*|cum|cumming|erection|masturbat*|thighs|nipples|strip for|undress|moaned|moan|moaning|bend over|so hard|so wet|get hard|get wet|get so hard|get so wet|am so hard|am so wet|in my bed|sleep with me|between your|without that lab coat|without your clothes|without that|fuck her|fuck him|fuck me|suck me|suck my|lick you|lick her|lick him|lick your|ride me|thrust*|out of those overalls|out of that coat|out of those clothes|out of her|overalls|get her out of|get him out of|get you out of|my name with|spread your legs|dirty pictures|desnud*|cachond*|caliente|polla|tetas|culo|follar*|coño|chupa*|nackt*|geil*|titten|arsch|schwanz|ficken|vogeln|brüste|bruste|nue|nu|nus|nues|excite*|desir|bite|seins|cul|baiser|bander|nua|nuas|tesao|pau|mamas|cu|transar|裸体|裸照|光着|脱光|性感|上床|做爱|欲火|硬了|湿了|屁股|奶子|胸部|鸡巴|想要你",
+    "SEX_WORD": "nudes|nude|naked|horny|dick|cock|pussy|tits|boobs|ass|arse|boner|orgasm*|blowjob*|porn*|cum|cumming|erection|masturbat*|thighs|nipples|strip for|undress|moaned|moan|moaning|bend over|so hard|so wet|get hard|get wet|get so hard|get so wet|am so hard|am so wet|in my bed|sleep with me|between your|without that lab coat|without your clothes|without that|fuck her|fuck him|fuck me|suck me|suck my|lick you|lick her|lick him|lick your|ride me|thrust*|out of those overalls|out of that coat|out of those clothes|out of her|overalls|get her out of|get him out of|get you out of|my name with|spread your legs|dirty pictures|desnud*|cachond*|caliente|polla|tetas|culo|follar*|coño|chupa*|nackt*|geil*|titten|arsch|schwanz|ficken|vogeln|brüste|bruste|nue|nues|excite*|desir|seins|cul|baiser|bander|nua|nuas|tesao|mamas|transar|裸体|裸照|光着|脱光|性感|上床|做爱|欲火|硬了|湿了|屁股|奶子|胸部|鸡巴|想要你",
     "SEX_ACT": "did it all night|did it three times|we did it|did it on|gave it to her|gave it to him|wanted my|picturing the two|want to see you|my hands between|would do her|take you right|all night on|makes me so|you make me|when you bend|te quiero ver|quiero verte|me pones|ich will dich|machst mich|je te veux|tu me rends|quero ver-te|quero-te|deixas-me|我想看你|我要你|让我受不了|想和你",
     "PESTS": "aphid*|weevil*|mite|mites|thrips|midge|midges|cutworm*|borer*|beetle*|moth|moths|bug|bugs|sawfly|sawflies|hopper*|scale|scales|whitefly|whiteflies|leafminer*|looper*|larva|larvae|larven|larvas|larves|nymphs|colony|colonies|insect*|pheromone*|grubs|adults|females|males|mating|copulat*|specimen*|caterpillar*|worm*|locust*|spider*|eggs|barley|hooks|wing|wings|pollen|hoverfl*|lacewing*|plaga de|schadling*|ravageur*|praga de|幼虫|成虫|若虫|虫体|害虫|诱捕|雌虫|雄虫|交配",
     "BIOLOGY": "sexual dimorphism|sex pheromone|sex ratio|mating disruption|virgin females|copulating pairs|intercourse lasted|penetrated by|reproductive|genitalia|ovipositor|bastard toadflax|great tits|blue tits|coal tits|horny plates|naked barley|cockchafer*|donkey|ass of|suck bite|breast height|bare below|light trap|of the coxa|at the coxa|naked oats|cock chafer|dick van|blue-footed boob*|thrips suck|stiff stem*|hard with soap|nuisance on|before they breed|breed no mercy|colony in|with heat|in a cage spray|stored|listed below|feromona*|pheromon*|pheromone*|paarung*|accouplement*|acasalamento*|交尾|性诱",
