@@ -50,11 +50,14 @@ EMPTY_WORDS = frozenset("null none nil nan na undefined".split())
 COPY_RUN, CJK_RUN = 20, 8
 #: At least this share of a copy's words comes from the prompt, and at most MAX_OWN_RUN words in a row are its own.
 COPY_SHARE, MAX_OWN_RUN = 0.75, 3
+#: A sentence with a run of so many characters of the prompt may be copied from it.
+SENTENCE_RUN = 15
 #: Shortest piece of the prompt that counts as copied.
 MIN_PIECE = 4
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:[-'’][^\W_㐀-鿿]+)*|§")
 _QUOTED = re.compile(r"['\"“‘「]([^'\"”’」]{3,60})['\"”’」]")
+_PART = re.compile(r"[.!?\n。！？]+")
 _MARKUP = re.compile(r"```[a-z]*|</?[A-Za-z|][^<>]{0,30}>|^\s*>\s?", re.M)
 
 
@@ -126,6 +129,16 @@ def _flat(text: str, name: str) -> str:
     return " ".join(_WORD.findall(text))
 
 
+def _own_sentence(part: str, prompt: str, name: str) -> bool:
+    """A sentence of at least three words of its own kind: no long piece of it is from the prompt."""
+    flat = _flat(part, name)
+    words = [w for w in flat.split(" ") if w and w != "§" and w not in WRAPPERS]
+    if len(words) < 3:
+        return False
+    pieces = [(size, flat[i - size + 1 : i + 1]) for i, size in enumerate(_automaton(prompt).runs(flat))]
+    return not any(size >= SENTENCE_RUN or sum(c >= "㐀" for c in piece) >= CJK_RUN - 2 for size, piece in pieces)
+
+
 def copied(answer: str, question: str, system: str, name: str) -> tuple[bool, str]:
     """(the answer is a copy of the prompt and nothing else, the answer's words that are not from the prompt)."""
     prompt = f"{_flat(system, name)} ¶ {_flat(question, name)}"
@@ -153,7 +166,8 @@ def copied(answer: str, question: str, system: str, name: str) -> tuple[bool, st
         worst = max(worst, run)
         if not inside:
             own.append(w)
-    is_copy = words > 0 and (longest >= COPY_RUN or cjk_longest >= CJK_RUN) and len(own) <= (1 - COPY_SHARE) * words and worst <= MAX_OWN_RUN
+    said = any(_own_sentence(part, prompt, name) for part in _PART.split(_MARKUP.sub(" ", answer)))
+    is_copy = not said and words > 0 and (longest >= COPY_RUN or cjk_longest >= CJK_RUN) and len(own) <= (1 - COPY_SHARE) * words and worst <= MAX_OWN_RUN
     return is_copy, " ".join(own)
 
 
