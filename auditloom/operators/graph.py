@@ -11,28 +11,41 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_bucket, stable_key
 from ..session import checkpoint
+from .skew import hot_keys, salted_join
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): components of an edge table (a, b), named by their least node.
 
-    Every round replaces a node's label by the least label around it and then follows
-    labels to their own labels, so the rounds grow as the logarithm of the longest
-    path. Labels are written to the checkpoint folder each round.
+    Alternates large-star (a node's greater neighbours go to its least one) and
+    small-star (its lesser neighbours and itself do), which ends in one star per
+    component after a number of rounds that grows as the squared logarithm of the
+    size. A node that bears a large part of the edges is spread over tasks; edges are
+    written to the checkpoint folder each round. A self edge names a lone node.
     """
-    e = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
-    both = checkpoint(e.union(e.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    e = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    start = checkpoint(e)
+    state = start.filter("a <> b")
+    sign = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
+    before = state.agg(*sign).first()
     for _ in range(max_rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lower = labels.join(around, "node").select("node", F.least("component", "m").alias("component"))
-        hop = lower.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpoint(lower.join(hop, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+        both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = salted_join(both, least.select("a", "m"), "a", hot_keys(least, "a", "n", 2 * before["n"]), F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpoint(large)
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        sent = salted_join(large, lower.select("a", "m"), "a", hot_keys(lower, "a", "n", before["n"]), F.col("b")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        state = checkpoint(sent.union(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        now = state.agg(*sign).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+    grown = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = state.select(F.col("b").alias("node"), F.col("b").alias("component"))
+    lone = start.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).join(grown.select("node"), "node", "left_anti")
+    return grown.union(roots.union(lone).distinct())
 
 
 def component_digest(members: DataFrame) -> DataFrame:

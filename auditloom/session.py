@@ -36,9 +36,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     The folder is the one the session names in ``spark.checkpoint.dir``, shared by
     all executors, so a lost executor loses nothing. Only where no folder is set
-    (tests in one process) a temporary one is used.
+    (tests in one process) a temporary one is used. The result's plan carries neither
+    the constraints nor the statistics of the plan that made it: in loops these grow
+    with every round until planning takes longer than the work.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)._jdf
+    plain = df.sparkSession._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False)
+    return DataFrame(plain, df.sparkSession)
