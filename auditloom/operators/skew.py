@@ -12,16 +12,13 @@ HOT_SHARE = 0.005
 def hot_keys(weights: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
     """Keys that bear at least HOT_SHARE of all rows: at most 200, whatever the data.
 
-    ``weights`` has one row per key; ``weight`` is its number of rows. Null keys are
-    never hot, as they join nothing. An empty table gives no keys.
+    ``weights`` has one row per key; ``weight`` is its number of rows. Without
+    ``total`` the weights are summed first, so give a table that is written already.
+    Null keys are never hot, as they join nothing. An empty table gives no keys.
     """
-    least = F.lit(total * HOT_SHARE) if total is not None else None
-    if least is None:
-        sums = weights.agg((F.sum(weight) * HOT_SHARE).alias("_least"))
-        found = weights.crossJoin(F.broadcast(sums)).filter(F.col(weight) >= F.col("_least"))
-    else:
-        found = weights.filter(F.col(weight) >= least)
-    return found.filter(F.col(key).isNotNull()).select(key)
+    if total is None:
+        total = weights.agg(F.sum(weight)).first()[0] or 0
+    return weights.filter((F.col(weight) >= F.lit(total * HOT_SHARE)) & F.col(key).isNotNull()).select(key)
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
