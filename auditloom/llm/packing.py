@@ -111,9 +111,12 @@ def pack(sizes: DataFrame, specs: DataFrame, items_per_group: int = ITEMS_PER_GR
     Containers are the same in every run over the same rows. No documents or no
     specs give no rows; specs of no capacity are ignored.
     """
-    kinds = F.broadcast(specs.filter("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct())
+    kinds = specs.filter("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct().orderBy("container_kind", "capacity_tokens").collect()
+    if not kinds:
+        return sizes.sparkSession.createDataFrame([], "container_kind string, capacity_tokens int, container_id string, doc_id long, piece int, start_token int, tokens int")
     cap, tokens = F.col("capacity_tokens"), F.coalesce(F.col("tokens"), F.lit(0))
-    pieces = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("int").alias("tokens")).crossJoin(kinds)
+    each = F.explode(F.array(*[F.struct(F.lit(k["container_kind"]).alias("container_kind"), F.lit(k["capacity_tokens"]).alias("capacity_tokens")) for k in kinds]))
+    pieces = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("int").alias("tokens"), each.alias("k")).select("doc_id", "tokens", "k.*")
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / cap).cast("int") - 1, F.lit(0)))))
     pieces = pieces.select("container_kind", "capacity_tokens", "doc_id", "piece", (F.col("piece") * cap).alias("start_token"), F.least(cap, F.col("tokens") - F.col("piece") * cap).alias("size"))
     full = pieces.filter("size = capacity_tokens").withColumn("container_id", F.concat_ws("/", "container_kind", F.lit("full"), "doc_id", "piece")).withColumn("fill", F.col("size"))
