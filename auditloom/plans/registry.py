@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregate_queries, join_queries, scalar_queries, select_queries, statistic_queries  # noqa: F401
+    from . import aggregate_queries, file_queries, join_queries, scalar_queries, select_queries, statistic_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, or a temporary one where none is set."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 
@@ -40,9 +48,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     the constraints nor the statistics of the plan that made it: in loops these grow
     with every round until planning takes longer than the work.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+    shared_folder(df.sparkSession)
     written = df.checkpoint(eager=True)._jdf
     plain = df.sparkSession._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False)
     return DataFrame(plain, df.sparkSession)
