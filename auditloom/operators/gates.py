@@ -34,9 +34,13 @@ def leakage_rules(rows: DataFrame, key: str, split: str, digest: str, component:
 
 
 def incomplete_groups(rows: DataFrame, group: str, part: str, wanted: list[str]) -> DataFrame:
-    """Groups whose parts are not exactly the wanted ones, each once: group, parts."""
-    parts = F.array_sort(F.collect_list(part))
-    return rows.filter(f"{group} IS NOT NULL").groupBy(group).agg(parts.alias("parts")).filter(F.col("parts") != F.array(*map(F.lit, sorted(wanted))))
+    """Groups whose parts are not exactly the wanted ones, each once: group, parts as ``name:count``.
+
+    Repeats are counted before they are gathered, so a group has one entry per part.
+    """
+    counted = rows.filter(f"{group} IS NOT NULL").groupBy(group, part).agg(F.count("*").alias("_n"))
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce(part, F.lit("none")), F.col("_n").cast("string"))))
+    return counted.groupBy(group).agg(parts.alias("parts")).filter(F.col("parts") != F.array(*[F.lit(f"{w}:1") for w in sorted(wanted)]))
 
 
 def quota_check(available: DataFrame, strata: list[str], n: str, quota: int) -> DataFrame:

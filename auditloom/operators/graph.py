@@ -7,10 +7,10 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_bucket, stable_key
 from ..session import checkpoint
+from .rank import running_before
 from .skew import hot_keys, salted_join
 
 
@@ -89,10 +89,13 @@ def absent_class(classes: list[int], present: Column, key: Column) -> Column:
 def dedup_by_content(df: DataFrame, digest: str, order: list[str], prior: DataFrame | None = None) -> DataFrame:
     """``df`` with ``dropped_as``: prior_content for digests seen before, exact_content_duplicate for repeats, else null.
 
-    The row that comes first in ``order`` is kept; null digests are never repeats.
+    The row that comes first in ``order`` (unique within a digest) is kept; null digests
+    are never repeats. The first place per digest is found before the shuffle and
+    joined back, with hot digests spread over tasks.
     """
-    place = F.row_number().over(Window.partitionBy(digest).orderBy(*order))
-    out = df.withColumn("_p", place)
+    place = F.struct(*order)
+    first = checkpoint(df.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(place).alias("_first"), F.count("*").alias("_n")))
+    out = salted_join(df, first.select(digest, "_first"), digest, hot_keys(first, digest, "_n"), F.col(order[0]), "left").withColumn("_p", F.when(place == F.col("_first"), 1).otherwise(2)).drop("_first")
     known = F.lit(False)
     if prior is not None:
         out = out.join(prior.select(F.col(prior.columns[0]).alias("_k")).filter("_k IS NOT NULL").distinct(), F.col(digest) == F.col("_k"), "left")
@@ -158,34 +161,32 @@ class _Flow:
                 total += push
 
 
-def _assign(key: tuple, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-    """Families with equal forbidden sets are one node, so the graph stays small."""
-    demand: dict[int, int] = {}
-    sets: dict[tuple, list[str]] = {}
-    for family, positive, present in sorted(zip(pdf.family, pdf.positive, pdf.present), key=lambda r: r[0]):
-        demand[positive] = demand.get(positive, 0) + 1
-        sets.setdefault(tuple(sorted({int(c) for c in present} | {positive})), []).append(family)
-    classes, groups = sorted(demand), sorted(sets)
-    flow = _Flow(2 + len(groups) + len(classes))
-    edges = {}
-    for i, g in enumerate(groups):
-        flow.add(0, 2 + i, len(sets[g]))
+def _flows(key: tuple, pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """One stratum's flow from sets of shown classes (with their number of families) to the classes in demand."""
+    want = pdf[pdf.shown.isna()]
+    demand = dict(zip(want["class"].astype(int), want["n"].astype(int)))
+    have = pdf[pdf.shown.notna()].sort_values("shown")
+    groups = [(text, {int(c) for c in text.split(",")}, int(n)) for text, n in zip(have.shown, have["n"])]
+    classes = sorted(demand)
+    flow, edges = _Flow(2 + len(groups) + len(classes)), {}
+    for i, (_, shown, n) in enumerate(groups):
+        flow.add(0, 2 + i, n)
         for j, c in enumerate(classes):
-            if c not in g:
-                edges[i, j] = flow.add(2 + i, 2 + len(groups) + j, len(sets[g]))
+            if c not in shown:
+                edges[i, j] = flow.add(2 + i, 2 + len(groups) + j, n)
     for j, c in enumerate(classes):
         flow.add(2 + len(groups) + j, 1, demand[c])
+    total = sum(demand.values())
     reached = flow.run(0, 1)
+    if reached < total:
+        return pd.DataFrame([(*key, None, None, None, total - reached)], columns=names)
     rows = []
-    if reached == len(pdf):
-        for i, g in enumerate(groups):
-            waiting = list(sets[g])
-            for j, c in enumerate(classes):
-                if (i, j) in edges:
-                    for _ in range(flow.room[edges[i, j] ^ 1]):
-                        rows.append((*key, waiting.pop(0), c, "assigned", 0))
-    else:
-        rows.append((*key, None, None, "infeasible", len(pdf) - reached))
+    for i, (text, _, _) in enumerate(groups):
+        upto = 0
+        for j, c in enumerate(classes):
+            if (i, j) in edges and (n := flow.room[edges[i, j] ^ 1]):
+                upto += n
+                rows.append((*key, text, c, upto, 0))
     return pd.DataFrame(rows, columns=names)
 
 
@@ -193,14 +194,26 @@ def exact_absent_assignment(df: DataFrame, strata: list[str]) -> DataFrame:
     """(strata, family, absent_class, status, deficit): each family gets a class it does not show, and every class as often as it is positive.
 
     ``df`` has the strata, family (string), positive (int) and present (array of int);
-    a stratum is solved in one task by maximum flow. Where no exact assignment exists
-    the stratum gives one row ``infeasible`` with the number of families left, never a
-    part of an assignment.
+    strata must not be null. Families that show the same classes are one node with a
+    count, so a stratum's maximum flow is over sets and classes, whatever its number
+    of families; the families then take their classes by rank within their set. Where
+    no exact assignment exists the stratum gives one row ``infeasible`` with the number
+    of families left, never a part of an assignment.
     """
-    names = [*strata, "family", "absent_class", "status", "deficit"]
     kinds = ", ".join(f"{s} {df.schema[s].dataType.simpleString()}" for s in strata)
-    ready = df.select(*strata, "family", "positive", F.coalesce("present", F.array().cast("array<int>")).alias("present")).filter("family IS NOT NULL AND positive IS NOT NULL").dropDuplicates([*strata, "family"])
-    return ready.groupBy(*strata).applyInPandas(lambda key, pdf: _assign(key, pdf, names), f"{kinds}, family string, absent_class int, status string, deficit int")
+    names = [*strata, "shown", "class", "upto", "deficit"]
+    none = F.array().cast("array<int>")
+    shown = F.array_join(F.array_sort(F.array_distinct(F.concat(F.filter(F.coalesce("present", none), lambda c: c.isNotNull()), F.array("positive")))).cast("array<string>"), ",")
+    ready = df.filter("family IS NOT NULL AND positive IS NOT NULL").dropDuplicates([*strata, "family"]).select(*strata, "family", "positive", shown.alias("shown"))
+    ready = checkpoint(ready.filter(" AND ".join(f"{s} IS NOT NULL" for s in strata)))
+    sets = ready.groupBy(*strata, "shown").agg(F.count("*").alias("n")).withColumn("class", F.lit(None).cast("int"))
+    wants = ready.groupBy(*strata, F.col("positive").alias("class")).agg(F.count("*").alias("n")).withColumn("shown", F.lit(None).cast("string"))
+    solved = checkpoint(sets.unionByName(wants).groupBy(*strata).applyInPandas(lambda key, pdf: _flows(key, pdf, names), f"{kinds}, shown string, class int, upto long, deficit int"))
+    steps = solved.filter("shown IS NOT NULL").groupBy(*strata, "shown").agg(F.array_sort(F.collect_list(F.struct("upto", "class"))).alias("steps"))
+    ranked = running_before(ready, [*strata, "shown"], ["family"], name="_i").join(steps, [*strata, "shown"])
+    assigned = ranked.select(*strata, "family", F.filter("steps", lambda x: F.col("_i") < x["upto"])[0]["class"].alias("absent_class"), F.lit("assigned").alias("status"), F.lit(0).alias("deficit"))
+    failed = solved.filter("shown IS NULL").select(*strata, F.lit(None).cast("string").alias("family"), F.lit(None).cast("int").alias("absent_class"), F.lit("infeasible").alias("status"), "deficit")
+    return assigned.unionByName(failed)
 
 
 def hashed_part(df: DataFrame, key: str, n: int, slots: list[int]) -> DataFrame:

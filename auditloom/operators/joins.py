@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import touches
 from ..functions.hashing import stable_key
+from ..session import checkpoint
+from .skew import hot_keys, salted_join
 
 
 def strict_join(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
@@ -112,8 +114,10 @@ def near_hash_pairs(rows: DataFrame, key: str, hash64: str, group: str, most: in
     is cut into most + 1 bands; by the pigeonhole principle such a pair shares one.
     """
     known = rows.filter(f"{hash64} IS NOT NULL")
-    members = known.select(key, F.min(key).over(Window.partitionBy(hash64, group)).alias("class"))
-    classes = known.groupBy(hash64, group).agg(F.min(key).alias("class"))
+    both = F.concat_ws("/", F.col(hash64).cast("string"), F.coalesce(F.col(group).cast("string"), F.lit("")))
+    classes = known.groupBy(hash64, group).agg(F.min(key).alias("class"), F.count("*").alias("n"))
+    named = checkpoint(classes.select(both.alias("_both"), "class", "n"))
+    members = salted_join(known.select(key, both.alias("_both")), named.select("_both", "class"), "_both", hot_keys(named, "_both", "n"), F.col(key)).select(key, "class")
     n = most + 1
     edges = [round(64 * i / n) for i in range(n + 1)]
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(F.col(hash64), 64 - edges[i + 1]), 64 - (edges[i + 1] - edges[i])).alias("v")) for i in range(n)])

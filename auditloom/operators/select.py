@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import stable_key
+from .rank import running_before
 
 
 def hash_rank(df: DataFrame, value: str, strata: list[str], namespace: str, name: str = "hash_rank") -> DataFrame:
-    """Rank within the strata by the digest of ``namespace/value``, ties by value: the same in every run."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*strata).orderBy(stable_key(namespace, F.col(value).cast("string")), value)))
+    """Rank within the strata by the digest of ``namespace/value``, ties by value: the same in every run and layout."""
+    keyed = df.withColumn("_hash", stable_key(namespace, F.col(value).cast("string")))
+    return running_before(keyed, strata, ["_hash", value], name="_b").withColumn(name, (F.col("_b") + 1).cast("int")).drop("_hash", "_b")
 
 
 def hash_top_k(df: DataFrame, value: str, strata: list[str], k: int, namespace: str) -> DataFrame:
     """The k rows of least hash rank in each stratum; the window group limit prunes before the shuffle."""
-    return hash_rank(df, value, strata, namespace, "_k").filter(F.col("_k") <= k).drop("_k")
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(stable_key(namespace, F.col(value).cast("string")), value))
+    return df.withColumn("_k", place).filter(F.col("_k") <= k).drop("_k")
 
 
 def round_robin(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
@@ -59,8 +62,12 @@ def class_bands(df: DataFrame, klass: str) -> DataFrame:
 
 def even_picks(df: DataFrame, strata: list[str], order: list[str], k: int) -> DataFrame:
     """k evenly spaced rows per stratum by rank: places trunc(i * (n - 1) / (k - 1)); the middle one if k is 1."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    ranked = running_before(df, strata, order, name="_i")
+    sizes = ranked.groupBy(*[F.col(s).alias(f"_z{i}") for i, s in enumerate(strata)]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for i, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_z{i}"))
+    ranked = ranked.join(sizes, same).drop(*[f"_z{i}" for i in range(len(strata))])
     if k == 1:
         return ranked.filter(F.col("_i") == F.floor((F.col("_n") - 1) / 2)).drop("_i", "_n")
     places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (k - 1)))
@@ -78,6 +85,13 @@ def largest_box(boxes: Column) -> Column:
     return F.array_max(F.transform(boxes, key))["b"]
 
 
+def largest_box_per(df: DataFrame, key: str, boxes: str) -> DataFrame:
+    """(key, largest) over all rows of a key: each row's best box, then the best of those, combined before the shuffle."""
+    best = df.select(key, largest_box(F.col(boxes)).alias("b")).filter("b IS NOT NULL")
+    size = (F.col("b.box")[2] - F.col("b.box")[0]) * (F.col("b.box")[3] - F.col("b.box")[1])
+    return best.groupBy(key).agg(F.max(F.struct(size.alias("size"), (-F.col("b.pest_id")).alias("i"), F.col("b")))["b"].alias("largest"))
+
+
 def top_two(p: Column) -> Column:
     """Struct of the best and second place (from 0), the best value and the margin; ties to the lower place."""
     ranked = F.sort_array(F.transform(p, lambda v, i: F.struct(v.cast("double").alias("v"), (-i).alias("i"))), asc=False)

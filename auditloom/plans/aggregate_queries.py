@@ -9,6 +9,7 @@ from ..functions import stats
 from ..functions.geometry import centre_inside, iou
 from ..functions.text import share
 from ..operators import aggregate as A
+from ..operators.rank import auroc, spearman
 from ..session import table
 from .base import FIRST, OUTCOMES, first_rows, outcomes, rounded
 from .registry import query
@@ -171,7 +172,7 @@ def i06_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT event_type, round(value, 1) AS s, count(*) FILTER (WHERE user_id % 2 = 0) AS p, count(*) FILTER (WHERE user_id % 2 = 1) AS n FROM events GROUP BY ALL), w AS (SELECT event_type, p, n, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT event_type, round(sum(p * (below + n / 2)) / (sum(p) * sum(n))::DOUBLE, 6) AS auroc FROM w GROUP BY event_type")
 def i07_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.round("value", 1).alias("s"), (F.col("user_id") % 2 == 0).alias("label"))
-    return rounded(stats.auroc(e, "s", "label", "event_type"), "auroc")
+    return rounded(auroc(e, "s", "label", "event_type"), "auroc")
 
 
 @query(f"WITH {OUTCOMES}, fam AS (SELECT family_id, bool_or(role = 'positive' AND evidence_present AND pest_id = query_class_id) AS hit, bool_and(role = 'positive' OR coalesce(NOT evidence_present, false)) AS rejects, count(*) FILTER (WHERE role <> 'positive') AS nulls FROM o WHERE family_id IS NOT NULL GROUP BY family_id) SELECT count(*) AS families, count(*) FILTER (WHERE coalesce(hit, false)) AS originals_right, count(*) FILTER (WHERE coalesce(hit, false) AND rejects AND nulls > 0) AS strict_success, count(*) FILTER (WHERE NOT rejects) AS contradicted FROM fam")
@@ -204,8 +205,6 @@ def i11_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT l_returnflag, l_quantity AS x, round(l_extendedprice, -3) AS y FROM lineitem), k AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY x) + (count(*) OVER (PARTITION BY l_returnflag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, y) - 1) / 2 AS ry FROM r) SELECT l_returnflag, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k GROUP BY l_returnflag")
 def i12_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.rank import spearman
-
     r = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.round("l_extendedprice", -3).alias("y"))
     return rounded(spearman(r, "x", "y", "l_returnflag"), "spearman")
 

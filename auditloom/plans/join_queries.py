@@ -226,7 +226,7 @@ def l02_freeze_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(spark, sf_dir).groupBy("role", "template_id").agg(F.count("*").alias("n"), F.count_if(F.col("id").rlike("^[0-9a-f]{32}$")).alias("opaque"), F.count_if(F.size("present_class_ids") == 0).alias("no_class"))
 
 
-@query("SELECT family_id, list(role ORDER BY role) AS parts FROM provenance WHERE family_id IS NOT NULL GROUP BY family_id HAVING list(role ORDER BY role) <> ['positive', 'semantic_negative', 'visual_counterfactual']")
+@query("WITH c AS (SELECT family_id, role || ':' || count(*) AS part FROM provenance WHERE family_id IS NOT NULL GROUP BY family_id, role) SELECT family_id, list(part ORDER BY part) AS parts FROM c GROUP BY family_id HAVING list(part ORDER BY part) <> ['positive:1', 'semantic_negative:1', 'visual_counterfactual:1']")
 def l03_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.incomplete_groups(table(spark, sf_dir, "provenance"), "family_id", "role", ["positive", "semantic_negative", "visual_counterfactual"])
 

@@ -60,8 +60,8 @@ def f08_top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH b AS (SELECT family_id, query_class_id AS pest_id, (gt_bbox[3] - gt_bbox[1]) * (gt_bbox[4] - gt_bbox[2]) AS area FROM manifest WHERE gt_bbox IS NOT NULL AND family_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY area DESC, pest_id) AS rn FROM b) SELECT family_id, pest_id FROM r WHERE rn = 1")
 def f09_largest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = table(spark, sf_dir, "manifest").filter("gt_bbox IS NOT NULL AND family_id IS NOT NULL").groupBy("family_id").agg(F.collect_set(F.struct(F.col("gt_bbox").alias("box"), F.col("query_class_id").alias("pest_id"))).alias("b"))
-    return boxes.select("family_id", S.largest_box(F.col("b"))["pest_id"].alias("pest_id"))
+    boxes = table(spark, sf_dir, "manifest").filter("gt_bbox IS NOT NULL AND family_id IS NOT NULL").select("family_id", F.array(F.struct(F.col("gt_bbox").alias("box"), F.col("query_class_id").alias("pest_id"))).alias("b"))
+    return S.largest_box_per(boxes, "family_id", "b").select("family_id", "largest.pest_id")
 
 
 @query("WITH e AS (SELECT id, feature_index, unnest(features)::DOUBLE AS v, generate_subscripts(features, 1) - 1 AS i FROM feature_rows), r AS (SELECT id, feature_index, i, v, row_number() OVER (PARTITION BY id, feature_index ORDER BY v DESC, i) AS rn FROM e) SELECT id, feature_index, max(i) FILTER (WHERE rn = 1)::INT AS top1, max(i) FILTER (WHERE rn = 2)::INT AS top2, round(max(v) FILTER (WHERE rn = 1), 6) AS confidence, round(max(v) FILTER (WHERE rn = 1) - max(v) FILTER (WHERE rn = 2), 6) AS margin FROM r GROUP BY id, feature_index")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import bootstrap as B
 from ..operators import probe as P
+from ..operators.rank import auroc
 from ..session import table
 from .base import OUTCOMES, outcomes, rounded
 from .registry import query
@@ -94,7 +95,7 @@ def k01_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k02_shortcut_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "provenance").select("id", "template_id", (F.col("role") == "positive").cast("double").alias("label"), F.concat_ws(" ", "template_id", "transform_id", F.col("query_class_id").cast("string")).alias("text")).dropDuplicates(["id"])
     scored = P.tfidf_logistic(m.filter("id < '8'"), m.filter("id >= '8'"), "id", "text", "label").join(m.select("id", "label"), "id")
-    return stats.auroc(scored.withColumn("label", F.col("label") == 1.0).withColumn("score", F.round("score", 9)), "score", "label")
+    return auroc(scored.withColumn("label", F.col("label") == 1.0).withColumn("score", F.round("score", 9)), "score", "label")
 
 
 @query()

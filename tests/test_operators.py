@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import geometry, hashing, json_contract, stats, text
 from auditloom.operators import aggregate, bootstrap, gates, graph, joins, probe, select, skew
-from auditloom.operators.rank import spearman
+from auditloom.operators.rank import auroc, running_before, spearman
 
 
 def test_strict_join_fails_on_repeats_and_gaps(spark):
@@ -111,14 +111,25 @@ def test_exact_tests():
 def test_auroc_and_spearman_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(round(rng.random(), 1), rng.random() < 0.5) for _ in range(60)]
-    got = stats.auroc(spark.createDataFrame(rows + [(None, True)], "s double, y boolean"), "s", "y").first()["auroc"]
+    got = auroc(spark.createDataFrame(rows + [(None, True)], "s double, y boolean"), "s", "y").first()["auroc"]
     p, n = [s for s, y in rows if y], [s for s, y in rows if not y]
     assert got == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n)))
-    assert stats.auroc(spark.createDataFrame([(0.1, True)], "s double, y boolean"), "s", "y").first()["auroc"] is None
+    assert auroc(spark.createDataFrame([(0.1, True)], "s double, y boolean"), "s", "y").first()["auroc"] is None
     same = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 9.0)], "x double, y double")
     assert spearman(same, "x", "y").first()["spearman"] == pytest.approx(1.0)
 
 
+def test_running_before(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.randint(0, 5)) for i in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(rows, "g string, v int, w int")
+    got = {r["v"]: r["before"] for r in running_before(df, ["g"], ["v"], F.col("w")).collect()}
+    assert got == {v: sum(w2 for g2, v2, w2 in rows if g2 == g and v2 < v) for g, v, _ in rows}
+    down = {r["v"]: r["before"] for r in running_before(df, [], [F.desc("v")]).collect()}
+    assert down == {v: sum(v2 > v for _, v2, _ in rows) for _, v, _ in rows}
+    assert running_before(df.limit(0), ["g"], ["v"]).count() == 0
+
+
 def test_macro_f1_variants(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, None), (None, 3)], "t int, p int")
     own = aggregate.macro_f1(df, "t", "p").first()
