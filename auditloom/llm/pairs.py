@@ -57,7 +57,9 @@ MIN_PIECE = 4
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:[-'’][^\W_㐀-鿿]+)*|§")
 _QUOTED = re.compile(r"['\"“‘「]([^'\"”’」]{3,60})['\"”’」]")
+_HAN = re.compile(r"[㐀-鿿]")
 _PART = re.compile(r"[.!?\n。！？]+")
+_FILLED = re.compile(r"\"\s*:\s*(?:true|false|-?\d|\"[^\"\s])")
 _MARKUP = re.compile(r"```[a-z]*|</?[A-Za-z|][^<>]{0,30}>|^\s*>\s?", re.M)
 
 
@@ -146,18 +148,19 @@ def copied(answer: str, question: str, system: str, name: str) -> tuple[bool, st
     if not flat:
         return False, ""
     runs = _automaton(prompt).runs(flat)
-    covered, longest, cjk_longest, reach = bytearray(len(flat)), 0, 0, -1
-    for i in range(len(flat) - 1, -1, -1):
-        size = runs[i]
-        if i == len(flat) - 1 or runs[i + 1] != size + 1:  # the match is maximal here
-            piece = flat[i - size + 1 : i + 1]
-            han = sum(c >= "㐀" for c in piece)
-            if size >= MIN_PIECE or han >= 2:
-                covered[i - size + 1 : i + 1] = b"\1" * size
-            longest, cjk_longest = max(longest, len(piece.replace("§", "").strip())), max(cjk_longest, han)
+    covered, longest, cjk_longest = bytearray(len(flat)), 0, 0
+    chinese = _HAN.search(flat) is not None
+    for i, (size, after) in enumerate(zip(runs, [*runs[1:], -1])):
+        if after == size + 1 or size < (2 if chinese else MIN_PIECE):
+            continue  # the match goes on, or is too short to count
+        piece = flat[i - size + 1 : i + 1]
+        han = len(_HAN.findall(piece)) if chinese else 0
+        if size >= MIN_PIECE or han >= 2:
+            covered[i - size + 1 : i + 1] = b"\1" * size
+        longest, cjk_longest = max(longest, len(piece.replace("§", "").strip())), max(cjk_longest, han)
     own, words, run, worst, at = [], 0, 0, 0, 0
     for w in flat.split(" "):
-        inside = all(covered[at : at + len(w)]) and w != "§"
+        inside = 0 not in covered[at : at + len(w)] and w != "§"
         at += len(w) + 1
         if w in WRAPPERS or w == "§":
             continue
@@ -166,8 +169,9 @@ def copied(answer: str, question: str, system: str, name: str) -> tuple[bool, st
         worst = max(worst, run)
         if not inside:
             own.append(w)
-    said = any(_own_sentence(part, prompt, name) for part in _PART.split(_MARKUP.sub(" ", answer)))
-    is_copy = not said and words > 0 and (longest >= COPY_RUN or cjk_longest >= CJK_RUN) and len(own) <= (1 - COPY_SHARE) * words and worst <= MAX_OWN_RUN
+    is_copy = words > 0 and (longest >= COPY_RUN or cjk_longest >= CJK_RUN) and len(own) <= (1 - COPY_SHARE) * words and worst <= MAX_OWN_RUN
+    if is_copy and any(_own_sentence(part, prompt, name) for part in _PART.split(_MARKUP.sub(" ", answer))):
+        is_copy = False
     return is_copy, " ".join(own)
 
 
@@ -175,6 +179,8 @@ def is_empty(text: str | None) -> bool:
     """Nothing but blanks, marks, markup, keys and empty values."""
     if text is None:
         return True
+    if _FILLED.search(text):
+        return False
     core = _MARKUP.sub(" ", strip_end(text)[0]).strip(PAD)
     if not any(c.isalnum() for c in core):
         return True
@@ -199,6 +205,12 @@ def _texts(answer: str) -> tuple[str, list[str], bool]:
     return running, [v for f, v in values if f not in ("status", "reliability", "pest_name", "pest_id", "species", "stage", "question", "prompt")], contract
 
 
+@lru_cache(65_536)
+def _spoken(text: str, name: str) -> str | None:
+    """The language of a text; values and short answers repeat, so most come from the cache."""
+    return language.vote(_language_text(text, name))
+
+
 def _language_text(text: str, name: str) -> str:
     flat = _flat(_MARKUP.sub(" ", re.sub(r"[A-Za-z]+_[A-Za-z_]+", " ", text)), name)
     return " ".join(w for w in flat.split(" ") if w != "§" and w not in STATUS_WORDS)
@@ -229,22 +241,23 @@ def defect(question: str, system: str, answer: str | None, cut: bool) -> str | N
     quoted = _QUOTED.search(question)
     name = quoted.group(1).casefold() if quoted else ""
     running, values, contract = _texts(answer)
-    own = running
-    if not contract or "{" not in answer:
+    own, plain = running, "{" not in answer
+    if not contract or plain:
         is_copy, own_words = copied(answer, question, system, name)
         if is_copy:
             return "copy"
+        own = own_words if plain else running
     if cut:
         return "truncated"
     spoken = " ".join([running, *values])
     if not contract and refuses(spoken, name):
         return "refusal"
-    if question and running.strip():
+    if not plain and running.strip(PAD + "`"):
         own = copied(running, question, system, name)[1]
     wanted = _question_language(question, name)
     if wanted:
         for text in (own, " ".join(values)):
-            got = language.vote(_language_text(text, name)) if text.strip() else None
+            got = _spoken(text, name) if text.strip() else None
             if got and got != wanted:
                 return "other_language"
     return None
