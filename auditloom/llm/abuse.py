@@ -27,10 +27,14 @@ TRAINING_DOCUMENTS = 9_000
 #: A sentence counts as abusive from this score on; a document with one is abusive.
 THRESHOLD = 0.5
 
+#: Sentence scores that a task keeps; beyond that it starts anew.
+KEPT_SCORES = 50_000
+
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])|[\r\n\v\f\x85  ]+")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|['’*@$+\-](?=[\w*@$])|!(?=[^\W_]))*\*?|[*@$]+\w[\w*@$]*")
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _SPREAD = re.compile(r"(?<![\w])(?:[^\W_][ .\-_·*]{1,2}){2,}[^\W_](?![\w])")
+_NUMBER = re.compile(r"(?<![\w.,:])\d+(?:[.,:]\d+)*(?![\w])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _HAN = re.compile(r"[㐀-鿿]")
 # Letters of other scripts and signs that look like Latin letters.
@@ -209,11 +213,22 @@ def sentence_score(sentence: str, weights: dict[str, float]) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def document_score(text: str | None, weights: dict[str, float]) -> tuple[float, float, str | None]:
-    """(noisy-or of the sentences, greatest sentence score, the sentence that has it); 0 and None without text."""
+def document_score(text: str | None, weights: dict[str, float], seen: dict[str, float] | None = None) -> tuple[float, float, str | None]:
+    """(noisy-or of the sentences, greatest sentence score, the sentence that has it); 0 and None without text.
+
+    ``seen`` keeps the scores of sentences, which do not depend on their numbers.
+    """
     none, top, worst = 1.0, 0.0, None
+    seen = {} if seen is None else seen
     for s in sentences(visible(text or "")):
-        p = sentence_score(s, weights)
+        alike = _NUMBER.sub("0", s)
+        p = seen.get(alike)
+        if p is None:
+            p = sentence_score(alike, weights)
+            if len(seen) >= KEPT_SCORES:
+                seen.clear()
+            if len(alike) <= 400:
+                seen[alike] = p
         none *= 1 - p
         if p > top:
             top, worst = p, s
@@ -232,8 +247,9 @@ def score_documents(documents: DataFrame, key: str = "doc_id", training: int = T
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, float] = {}
         for pdf in batches:
-            found = [document_score(t, weights.value) for t in pdf.text]
+            found = [document_score(t, weights.value, seen) for t in pdf.text]
             yield pd.DataFrame({key: pdf[key], "source": pdf.source, "score": [x[0] for x in found], "sentence_score": [x[1] for x in found], "sentence": [x[2] for x in found]})
 
     return documents.select(key, "source", "text").mapInPandas(run, f"{key} {kind}, source string, score double, sentence_score double, sentence string")
