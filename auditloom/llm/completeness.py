@@ -36,6 +36,8 @@ _BEFORE_STRING = frozenset("{[,:")
 ENDED_SHARE = 0.3
 #: A value is cut if longer words or values that begin with it are this many times as frequent in its field.
 LONGER_RATIO = 5
+#: Fields under which first words are counted: of all running texts, and of those that are one word.
+FIRST, ALONE = "^", "^1"
 #: Longest value that is compared as a whole; longer ones are prose, judged by their end.
 VALUE_CHARS = 64
 
@@ -133,7 +135,10 @@ def scan(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[tuple[str,
     if tail:
         first, key = _opening(tail)
         prose.append((first, key, _sentence_ended(tail)))
-        short.append(("", first if end == 0 and " " not in tail else ""))
+        word = re.sub(r"\W+$", "", first)
+        short.append((FIRST, word))
+        if end == 0 and not _SPACE.search(tail):
+            short.append((ALONE, word))
     for field, value in values:
         inner, inner_strong, _ = strip_end(value)
         if inner_strong or inner[-1:] == "�":
@@ -172,10 +177,13 @@ def _cut_values(vals: DataFrame) -> DataFrame:
     def longer(counts: DataFrame, what: str) -> DataFrame:
         return counts.filter((F.col("n") >= 3) & (F.length(what) > 1)).select("field", F.explode(_prefixes(what)).alias(what), "n").groupBy("field", what).agg(F.sum("n").alias("longer"))
 
-    whole = vals.join(longer(vals, "value"), ["field", "value"]).filter(F.col("longer") >= LONGER_RATIO * F.col("n")).select("field", "value")
-    words = vals.select("field", F.explode(F.array_distinct(F.split("value", " "))).alias("word"), "n").filter("word <> ''").groupBy("field", "word").agg(F.sum("n").alias("n"))
+    # a text of one word is cut if that is the beginning of words with which texts begin
+    prefixes = longer(vals, "value")
+    alone = prefixes.filter(F.col("field") == FIRST).withColumn("field", F.lit(ALONE))
+    whole = vals.filter(F.col("field") != FIRST).join(prefixes.filter(F.col("field") != ALONE).union(alone), ["field", "value"]).filter(F.col("longer") >= LONGER_RATIO * F.col("n")).select("field", "value")
+    words = vals.filter(~F.col("field").isin(FIRST, ALONE)).select("field", F.explode(F.array_distinct(F.split("value", " "))).alias("word"), "n").filter("word <> ''").groupBy("field", "word").agg(F.sum("n").alias("n"))
     broken = words.join(longer(words, "word"), ["field", "word"]).filter(F.col("longer") >= LONGER_RATIO * F.col("n")).select("field", "word")
-    last = vals.filter(F.col("value").contains(" ")).select("field", "value", F.substring_index("value", " ", -1).alias("word"))
+    last = vals.filter(F.col("value").contains(" ") & ~F.col("field").isin(FIRST, ALONE)).select("field", "value", F.substring_index("value", " ", -1).alias("word"))
     return whole.union(last.join(broken, ["field", "word"], "left_semi").select("field", "value")).distinct()
 
 

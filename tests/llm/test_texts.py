@@ -22,11 +22,11 @@ def test_closed_structures_are_not_cut(text):
 def test_cut_answers_by_baselines(spark):
     rows = [(f"a{i}", 1, "m", SAID) for i in range(3)] + [(f"b{i}", 1, "m", f"Yes, the pixels support the moth number {i}.") for i in range(20)]
     rows += [(f"c{i}", 1, "m", JSON.replace("3,4]", f"3,{i + 4}]")) for i in range(20)]
-    rows += [("cut1", 1, "m", "Yes, the pixels support th"), ("cut2", 1, "n", JSON.replace("rolled margins", "rolled marg")), ("cut3", 2, None, JSON[:70] + "..."), ("cut3", 2, None, JSON[:70] + "..."), ("terse1", 1, "n", "supported: vine moth on the petiole"), ("terse2", 1, "n", "present = true, webbing near the petiole"), ("done", 1, "n", f"{JSON} done"), ("null", 1, "n", None), ("empty", 1, "n", ""), ("long", 1, "n", "Yes, the moth. " * 5000)]
+    rows += [("cut1", 1, "m", "Yes, the pixels support th"), ("cut2", 1, "n", JSON.replace("rolled margins", "rolled marg")), ("cut3", 2, None, JSON[:70] + "..."), ("cut3", 2, None, JSON[:70] + "..."), ("terse1", 1, "n", "supported: vine moth on the petiole"), ("terse2", 1, "n", "present = true, webbing near the petiole"), ("done", 1, "n", f"{JSON} done"), ("cut4", 1, "n", "Ye"), ("whole", 1, "n", "Yes"), ("null", 1, "n", None), ("empty", 1, "n", ""), ("long", 1, "n", "Yes, the moth. " * 5000)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "id string, attempt int, source string, raw_text string, text_id string, n string")
-    assert {r["id"] for r in completeness.cut_answers(df).collect()} == {"cut1", "cut2", "cut3"}
+    assert {r["id"] for r in completeness.cut_answers(df).collect()} == {"cut1", "cut2", "cut3", "cut4"}
     report = {r["source"]: (r["answers"], r["cut_answers"]) for r in completeness.truncation_report(df).collect()}
-    assert report == {"m": (44, 1), "n": (6, 1), None: (1, 1)}
+    assert report == {"m": (44, 1), "n": (8, 2), None: (1, 1)}
     assert completeness.cut_answers(df.limit(0)).count() == 0
 
 
