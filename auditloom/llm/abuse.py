@@ -73,8 +73,21 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-def _word(token: str) -> str:
-    """A token freed from disguise: look-alike letters, digits and signs for letters, asterisks, drawn-out letters."""
+@lru_cache(1)
+def _harmless_words() -> dict[int, list[str]]:
+    """Words of the harmless sentences and slots by length; a masked word may be one of them."""
+    found: dict[int, list[str]] = {}
+    slots = (v for k, values in SLOTS.items() if k in ("pest", "crop", "place", "tool", "part", "thing") for v in values)
+    for w in {w for text in (*HARMLESS, *slots) for w in _bare(text).replace("{", " ").replace("}", " ").split() if w.isalpha()} - _automaton()[1]:
+        found.setdefault(len(w), []).append(w)
+    return found
+
+
+def _word(token: str, sure: bool = False) -> str:
+    """A token freed from disguise: look-alike letters, digits and signs for letters, asterisks, drawn-out letters.
+
+    Of a word with asterisks that may be a harmless one, the harmful one is taken only if ``sure``.
+    """
     if not token.isascii():
         mapped = token.translate(LOOKALIKES)
         if mapped.isascii():
@@ -84,15 +97,17 @@ def _word(token: str) -> str:
     else:
         t = token
         if any(c.isalpha() for c in t) and any(c in "013457@$!+" for c in t):
-            letters = sum(c.isalpha() for c in t)
-            if letters * 3 >= len(t) or t[0] in "@$":
-                t = t.translate(LEET)
+            plain = t.translate(LEET)
+            if sum(c.isalpha() for c in t) * 3 >= len(t) or t[0] in "@$" or plain in _automaton()[1]:
+                t = plain
         if "*" in t:
             pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in t))
             hit = [w for w in _automaton()[2].get(len(t), ()) if pattern.fullmatch(w)] if sum(c.isalpha() for c in t) else []
+            if hit and not sure and any(pattern.fullmatch(w) for w in _harmless_words().get(len(t), ())):
+                hit = []
             t = hit[0] if hit else t.replace("*", "")
-    t = _LONG.sub(r"\1", t)
     words = _automaton()[1]
+    t = twice if (twice := _LONG.sub(r"\1\1", t)) in words else _LONG.sub(r"\1", t)
     if t not in words and len(t) > 3:
         for i in range(1, len(t)):
             if t[i] == t[i - 1] and t[:i] + t[i + 1 :] in words:
@@ -126,14 +141,23 @@ def sentences(text: str) -> list[str]:
 
 
 # Words with which a sentence often begins.
-_STARTS = "The|We|No|An|In|On|It|Please|Larvae|Trap|Has|Both|This|That|There|Temperature|Leaves|Family|Component|Field|Question|Reviewer|Checkpoint|Compare|Nothing|After|Seed|Sampling|Threshold|Image|Egg|Damage|Growers|Beneficials|Is|What|Could|Three|Several|Fresh|Old|Dense|Scattered|Hardly|Two|Die|Der|Das|Wir|Es|An|Auch|Bitte|Kein|Hat|In|El|La|Los|Las|Hay|No|Se|Por|Contamos|Le|Les|Il|Nous|Sur|Aucun|Merci|Os|As|Em|Na|Nenhum|You|Your|Go|Shut|Only|Typical|Just|Whoever|Whichever|Did|Nice|Send|Show|Set|Come|Watch|Sleep|Nobody|Do|I|My|Once|Listen|Honestly|Dear|Hey|Every|All|Those|Women|Migrants|Foreign|Kill|Tell|Looking|One|She|He|Eres|Vete|Nadie|Si|Quiero|Esas|Du|Verpiss|Komm|Keiner|Ich|Tu|Va|Reviens|Personne|Ces|Je|Vai|Ningu|Quero|És"
+_STARTS = "The|We|No|An|In|On|It|Please|Larvae|Trap|Has|Both|This|That|There|Temperature|Leaves|Family|Component|Field|Question|Reviewer|Checkpoint|Compare|Nothing|After|Seed|Sampling|Threshold|Image|Egg|Damage|Growers|Beneficials|Is|What|Could|Three|Several|Fresh|Old|Dense|Scattered|Hardly|Two|Die|Der|Das|Wir|Es|An|Auch|Bitte|Kein|Hat|In|El|La|Los|Las|Hay|No|Se|Por|Contamos|Le|Les|Il|Nous|Sur|Aucun|Merci|Os|As|Em|Na|Nenhum|You|Your|Go|Shut|Only|Typical|Just|Whoever|Whichever|Did|Nice|Send|Show|Set|Come|Watch|Sleep|Nobody|Do|My|Once|Listen|Honestly|Dear|Hey|Every|All|Those|Women|Migrants|Foreign|Kill|Tell|Looking|One|She|He|Eres|Vete|Nadie|Si|Quiero|Esas|Du|Verpiss|Komm|Keiner|Ich|Tu|Va|Reviens|Personne|Ces|Je|Vai|Ningu|Quero|És"
 _RUN_ON = re.compile(rf"(?<=[a-zà-ÿ0-9%]{{2}}) (?=(?:{_STARTS}) [a-zà-ÿ])")
 
 
 def features(sentence: str) -> list[str]:
     """Concepts of a visible sentence, alone and in pairs, with what they are near to."""
-    low = _bare(sentence)
-    tokens = [w for w in (_word(t) for t in _TOKEN.findall(low)) if w]
+    found = _concepts(_bare(sentence))
+    if "*" in sentence and found.keys() & _HOSTILE:
+        found = _concepts(_bare(sentence), True)
+    return _named(found, bool(_HAN.search(sentence)))
+
+
+_HOSTILE = {"INSULT", "SLUR_ADJ", "PROFANE", "GO_AWAY", "BELITTLE", "DEHUMAN", "MENACE", "WISH_HARM", "SEX_WORD", "SEX_ACT"}
+
+
+def _concepts(low: str, sure: bool = False) -> dict[str, int]:
+    tokens = [w for w in (_word(t, sure) for t in _TOKEN.findall(low)) if w]
     spaced = " " + " ".join(t.replace("-", " ").replace("'", " ").replace("’", " ") for t in tokens) + " "
     han = "".join(_HAN.findall(low)) if _HAN.search(low) else ""
     found: dict[str, int] = {}
@@ -142,6 +166,10 @@ def features(sentence: str) -> list[str]:
             for end, concepts in _automaton()[0].iter(text):
                 for c in concepts:
                     found.setdefault(c, end)
+    return found
+
+
+def _named(found: dict[str, int], han: bool) -> list[str]:
     names = sorted(found)
     out = [f"1:{n}" for n in names] + [f"2:{a}&{b}" for i, a in enumerate(names) for b in names[i + 1 :]]
     if "PESTS" not in found and "BIOLOGY" not in found and "POLICY" not in found:

@@ -9,7 +9,7 @@ CONCEPTS: dict[str, str] = {
     "YOU": "you|your|yours|yourself|yourselves|you're|youre|ur|du|dich|dir|dein*|euch|euer|eure*|ihr|tu|te|ti|tus|tuyo|eres|contigo|vosotros|usted*|tes|toi|ton|ta|t'es|vous|vos|votre|tuas|teu|teus|tua|voce|deixas*|你|你的|您|你们",
     "I": "i|i'm|i'll|i'd|me|my|we|us|our|ich|mir|mich|wir|yo|mi|je|j'ai|j'aim*|moi|nous|eu|meu|minha|nos|我|我们",
     "PERSON": "whoever|whichever|reviewer*|reader*|professor*|expert*|colleague*|he|she|him|her|guy|man|woman|somebody|someone|anyone|anybody|person|quien|quienquiera|revisor*|lectora*|wer|gutachter*|pruferin|celui|quiconque|relecteur*|relectrice*|quem|revisora*|谁|审核员|caption|author|mother|parents|father|sister|carer|everybody|boss|fool",
-    "INSULT": "idiot*|moron*|loser*|scumbag*|halfwit*|half-wit*|numpty|prick*|bitch*|asshole*|arsehole*|dickhead*|wanker*|twat*|clown*|imbecile*|cretin*|jerk|dumbass*|dimwit*|nitwit*|dunce|slob|creep|weasel|retard*|twit|airhead|simpleton|lowlife|scum|trash|garbage|swine|pig|rat|cow|cunt*|slut*|whore*|motherfucker*|bastard*|thing|joke|disgrace|failure|waste|coward*|liar*|fraud|hag|toad|muppet|git|nobody|tosser|pillock|knob|shithead*|dipshit*|jackass*|dork|douchebag*|waste of skin|parasite|leech|crap|donkey|ape|brainless|imbecil*|cabron*|inutil*|idiota*|estupid*|gilipollas|tont*|payas*|pendej*|escoria|puta|puto|tarad*|bastardo*|cerdo|trottel*|versager*|arschloch*|depp*|dummkopf*|vollidiot*|wichser*|hurensohn*|abschaum|drecksau|schwachkopf*|penner|schlampe*|miststuck*|blodmann|dummes|connard*|connasse*|minable*|cretin*|abruti*|salaud*|salope*|encule*|ordure*|debile*|bouffon*|raclure|otari*|burr*|palerma*|cabrao|cabroes|estupid*|escumalha|parvo*|parva|canalha|vadia|傻瓜|蠢货|废物|白痴|混蛋|王八蛋|笨蛋|傻逼|蠢猪|渣滓|猪头|窝囊废|草包|无能",
+    "INSULT": "idiot*|moron*|loser*|scumbag*|halfwit*|half-wit*|numpty|prick*|bitch*|asshole*|arsehole*|dickhead*|wanker*|twat*|clown*|imbecile*|cretin*|jerk|dumbass*|dimwit*|nitwit*|dunce|slob|creep|weasel|retard*|twit|airhead|simpleton|lowlife|scum|trash|garbage|swine|pig|rat|cow|cunt*|slut*|whore*|motherfucker*|bastard*|thing|joke|disgrace|failure|waste|coward*|liar*|fraud|hag|toad|muppet|git|nobody|tosser|pillock|knob|shithead*|dipshit*|jackass*|dork|piece of shit|piece of filth|piece of trash|douchebag*|waste of skin|parasite|leech|crap|donkey|ape|brainless|imbecil*|cabron*|inutil*|idiota*|estupid*|gilipollas|tont*|payas*|pendej*|escoria|puta|puto|tarad*|bastardo*|cerdo|trottel*|versager*|arschloch*|depp*|dummkopf*|vollidiot*|wichser*|hurensohn*|abschaum|drecksau|schwachkopf*|penner|schlampe*|miststuck*|blodmann|dummes|connard*|connasse*|minable*|cretin*|abruti*|salaud*|salope*|encule*|ordure*|debile*|bouffon*|raclure|otari*|burr*|palerma*|cabrao|cabroes|estupid*|escumalha|parvo*|parva|canalha|vadia|傻瓜|蠢货|废物|白痴|混蛋|王八蛋|笨蛋|傻逼|蠢猪|渣滓|猪头|窝囊废|草包|无能",
     "SLUR_ADJ": "nothing but a|brain-dead|braindead|spineless|worthless|two-faced|pathetic|useless|stinking|lying|sleazy|sneaky|shitty|useless|stupid|filthy|ugly|greasy|inbred|dumb|disgusting|brainless|clueless|dirty|lazy|rotten|miserable|gutless|smelly|fat|moronic|idiotic|incompetent|mindless|thick|retarded|slimy|vile|nasty|biggest|total|complete|utter|inutil|asqueros*|suci*|vag*|dumm*|faul*|dreckig*|widerlich*|haßlich*|hasslich*|stupide*|sale|sales|laid*|paresseu*|nul|sujo*|suja*|preguicos*|nojent*|愚蠢|恶心|肮脏|懒|丑",
     "PROFANE": "fuck*|shit*|damn*|goddamn*|bloody|bullshit|piss|crap|hell|foutre|merde|mierda|joder|carajo|cono|scheiss*|scheisse|verpiss*|fick*|verdammt*|merda|foder|foda-se|caralho|porra|putain|bordel|操|他妈|妈的|狗屁|滚蛋|滚开|滚出|滚吧",
     "GO_AWAY": "go to hell|get lost|fuck off|piss off|shut your|shut up|stop touching|nobody asked|vete a|vete al|lárgate|largate|deja de tocar|verpiss dich|hau ab|finger weg|halt die|halt's maul|va te faire|degage|ferme ta|ferme-la|arrete de toucher|vai a|vai para|cala-te|desaparece|larga*|para de mexer|para de tocar|deixa de mexer|deixa de tocar|别再碰|闭嘴|滚",
@@ -27,7 +27,7 @@ CONCEPTS: dict[str, str] = {
     "SEX_ACT": "did it all night|did it three times|we did it|did it on|gave it to her|gave it to him|wanted my|picturing the two|want to see you|my hands between|would do her|take you right|all night on|makes me so|you make me|when you bend|te quiero ver|quiero verte|me pones|ich will dich|machst mich|je te veux|tu me rends|quero ver-te|quero-te|deixas-me|我想看你|我要你|让我受不了|想和你",
     "PESTS": "aphid*|weevil*|mite|mites|thrips|midge|midges|cutworm*|borer*|beetle*|moth|moths|bug|bugs|sawfly|sawflies|hopper*|scale|scales|whitefly|whiteflies|leafminer*|looper*|larva|larvae|larven|larvas|larves|nymphs|colony|colonies|insect*|pheromone*|grubs|adults|females|males|mating|copulat*|specimen*|caterpillar*|worm*|locust*|spider*|eggs|barley|hooks|wing|wings|pollen|hoverfl*|lacewing*|plaga de|schadling*|ravageur*|praga de|幼虫|成虫|若虫|虫体|害虫|诱捕|雌虫|雄虫|交配",
     "BIOLOGY": "sexual dimorphism|sex pheromone|sex ratio|mating disruption|virgin females|copulating pairs|intercourse lasted|penetrated by|reproductive|genitalia|ovipositor|bastard toadflax|great tits|blue tits|coal tits|horny plates|naked barley|cockchafer*|donkey|ass of|suck bite|breast height|bare below|light trap|of the coxa|at the coxa|naked oats|cock chafer|dick van|blue-footed boob*|thrips suck|stiff stem*|hard with soap|nuisance on|before they breed|breed no mercy|colony in|with heat|in a cage spray|stored|listed below|feromona*|pheromon*|pheromone*|paarung*|accouplement*|acasalamento*|交尾|性诱",
-    "POLICY": "policy|policies|rule|rules|ban|banned|bans|removed|moderator*|posts that|lines like|remarks of|remarks like|comments like|words like|phrases like|the kind|without notice|training course|flag|reported|forbidden|not allowed|house rule*|guideline*|code of conduct|norma*|reglas|prohibid*|hausordnung|regel*|verboten|gesperrt|entfernt|reglement|regle*|interdit*|supprime*|regulamento|regras|proibid*|removid*|规定|禁止|删除|封禁|版规",
+    "POLICY": "policy|policies|rule|rules|ban|banned|bans|removed|moderator*|posts that|lines like|remarks of|remarks like|comments like|words like|phrases like|the kind|without notice|training course|reported|forbidden|not allowed|house rule*|guideline*|code of conduct|norma*|reglas|prohibid*|hausordnung|regel*|verboten|gesperrt|entfernt|reglement|regle*|interdit*|supprime*|regulamento|regras|proibid*|removid*|规定|禁止|删除|封禁|版规",
     "THING_NOUN": "lens cap|tripod|bracket|clamp|rain|weather|mistake|wind|lid|camera|battery|printer|sprayer|cable|software|label printer|hose|pump|mud|heat|gate latch|ladder|screen|tool|boots|keyboard|lente|soporte|lluvia|error|stativ|regen|fehler|objektivdeckel|trepied|pluie|erreur|tripe|chuva|erro|镜头盖|三脚架|雨|错误",
     "SELF": "my own|myself|my mistake|my fault|i was|mi propio|mein eigener|ma propre|meu proprio|我自己",
     "KIND": "thank*|thanks|best|right about|great help|kind|well done|deserve|saved the season|good work|please|hello|sorry|says hello|did it well|well|gracias|amable|danke*|hilfe|bitte|merci|aimable|obrigad*|amavel|谢谢|帮了大忙|do not blame|not blame yourself|show you|show you the|samples|pictures|photos|fotos|photo*|bilder|fotografias|zeige|enseno|montre|mostro|照片|给你看",
@@ -50,7 +50,7 @@ SLOTS: dict[str, tuple[str, ...]] = {
     "place": ("plot KM-313", "the cold store", "gate VX-475", "the audit desk", "bay 12", "the yard"),
     "num": ("12", "47", "305", "8", "611"),
     "tool": ("sprayer", "microscope", "tractor", "camera", "lens"),
-    "part": ("leaf axil", "stem base", "petiole", "tendril", "root collar"),
+    "part": ("fruit calyx", "flag leaf", "leaf axil", "stem base", "petiole", "tendril", "root collar"),
 }
 
 ABUSIVE: tuple[str, ...] = (
