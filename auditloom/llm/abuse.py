@@ -141,7 +141,7 @@ def sentences(text: str) -> list[str]:
 
 
 # Words with which a sentence often begins.
-_STARTS = "The|We|No|An|In|On|It|Please|Larvae|Trap|Has|Both|This|That|There|Temperature|Leaves|Family|Component|Field|Question|Reviewer|Checkpoint|Compare|Nothing|After|Seed|Sampling|Threshold|Image|Egg|Damage|Growers|Beneficials|Is|What|Could|Three|Several|Fresh|Old|Dense|Scattered|Hardly|Two|Die|Der|Das|Wir|Es|An|Auch|Bitte|Kein|Hat|In|El|La|Los|Las|Hay|No|Se|Por|Contamos|Le|Les|Il|Nous|Sur|Aucun|Merci|Os|As|Em|Na|Nenhum|You|Your|Go|Shut|Only|Typical|Just|Whoever|Whichever|Did|Nice|Send|Show|Set|Come|Watch|Sleep|Nobody|Do|My|Once|Listen|Honestly|Dear|Hey|Every|All|Those|Women|Migrants|Foreign|Kill|Tell|Looking|One|She|He|Eres|Vete|Nadie|Si|Quiero|Esas|Du|Verpiss|Komm|Keiner|Ich|Tu|Va|Reviens|Personne|Ces|Je|Vai|Ningu|Quero|És"
+_STARTS = "The|We|No|An|In|On|It|Please|Larvae|Trap|Has|Both|This|That|There|Temperature|Leaves|Family|Component|Field|Question|Reviewer|Checkpoint|Compare|Nothing|After|Seed|Sampling|Threshold|Image|Egg|Damage|Growers|Beneficials|Is|What|Could|Three|Several|Fresh|Old|Dense|Scattered|Hardly|Two|Die|Der|Das|Wir|Es|An|Auch|Bitte|Kein|Hat|In|El|La|Los|Las|Hay|No|Se|Por|Contamos|Le|Les|Il|Nous|Sur|Aucun|Merci|Os|As|Em|Na|Nenhum|You|Your|Go|Shut|Only|Typical|Just|Whoever|Whichever|Did|Nice|Send|Show|Set|Come|Watch|Sleep|Nobody|Do|My|Once|Obrigado|Gracias|Danke|Kannst|Podes|Quelqu|Under|House|Report|Sex|Great|Dead|Keep|Hit|Listen|Honestly|Dear|Hey|Every|All|Those|Women|Migrants|Foreign|Kill|Tell|Looking|One|She|He|Eres|Vete|Nadie|Si|Quiero|Esas|Du|Verpiss|Komm|Keiner|Ich|Tu|Va|Reviens|Personne|Ces|Je|Vai|Ningu|Quero|És"
 _RUN_ON = re.compile(rf"(?<=[a-zà-ÿ0-9%]{{2}}) (?=(?:{_STARTS}) [a-zà-ÿ])")
 
 

@@ -13,7 +13,7 @@ CONCEPTS: dict[str, str] = {
     "SLUR_ADJ": "nothing but a|brain-dead|braindead|spineless|worthless|two-faced|pathetic|useless|stinking|lying|sleazy|sneaky|shitty|useless|stupid|filthy|ugly|greasy|inbred|dumb|disgusting|brainless|clueless|dirty|lazy|rotten|miserable|gutless|smelly|fat|moronic|idiotic|incompetent|mindless|thick|retarded|slimy|vile|nasty|biggest|total|complete|utter|inutil|asqueros*|suci*|vag*|dumm*|faul*|dreckig*|widerlich*|haßlich*|hasslich*|stupide*|sale|sales|laid*|paresseu*|nul|sujo*|suja*|preguicos*|nojent*|愚蠢|恶心|肮脏|懒|丑",
     "PROFANE": "fuck*|shit*|damn*|goddamn*|bloody|bullshit|piss|crap|hell|foutre|merde|mierda|joder|carajo|cono|scheiss*|scheisse|verpiss*|fick*|verdammt*|merda|foder|foda-se|caralho|porra|putain|bordel|操|他妈|妈的|狗屁|滚蛋|滚开|滚出|滚吧",
     "GO_AWAY": "go to hell|get lost|fuck off|piss off|shut your|shut up|stop touching|nobody asked|vete a|vete al|lárgate|largate|deja de tocar|verpiss dich|hau ab|finger weg|halt die|halt's maul|va te faire|degage|ferme ta|ferme-la|arrete de toucher|vai a|vai para|cala-te|desaparece|larga*|para de mexer|para de tocar|deixa de mexer|deixa de tocar|别再碰|闭嘴|滚",
-    "HARM": "smash|break|broke|crush|kill|choke|strangle|beat|burn|hang|stab|shoot|cut|hurt|bury|drown|knock|punch|slap|kick|rip|skin|poison|murder|slit|snap|run over|tear|rompo|romper*|romperte|parto|partir*|mato|matar*|matare|pego|golpe*|rajo|quemo|schlag|schlage|schlagen|brech*|breche|zerschlag*|erschlag*|umbring*|bring dich um|prugel*|casse|casser*|briser*|tue|tuer*|frappe*|etrangl*|parto-te|mato-te|bato|bater*|esmago|esmag*|quebr*|打断|打死|打烂|杀|弄死|揍|砍|烧死|掐死|敲碎|砸",
+    "HARM": "smash|break|broke|crush|kill|choke|strangle|beat|burn|hang|stab|shoot|cut|hurt|bury|drown|knock|punch|slap|kick|rip|skin|poison|murder|slit|snap|run over|tear|rompo|romper*|romperte|parto|partir*|mato|matar*|matare|pego|golpe*|rajo|quemo|schlag|schlage|schlagen|brech*|breche|zerschlag*|erschlag*|umbring*|bring dich um|prugel*|casse|casser*|briser*|tue|tuer*|frappe*|etrangl*|parto-te|mato-te|bato|bater*|esmago|esmag*|quebr*|acabo contigo|acabar contigo|rebento-te|te reviento|te machaco|demolis|demolir|demolirai|mach dich fertig|mache dich fertig|mach dich kalt|kriege dich|te finis|打断|打死|打烂|杀|弄死|揍|砍|烧死|掐死|敲碎|砸",
     "BODY": "jaw|fingers|finger|leg|legs|teeth|tooth|neck|skull|bones|knees|knee|nose|ribs|arm|arms|throat|kneecaps|hands|piernas|pierna|dientes|cara|cuello|huesos|dedos|brazos|zahne|knochen|beine|finger|nase|genick|hals|jambes|jambe|dents|doigts|bras|machoire|pernas|perna|dentes|dedos|bracos|ossos|queixo|腿|牙|手指|脖子|骨头|胳膊|脑袋|鼻子",
     "WARN": "waiting for you|next time you|show up at|come near|know which|from now on|again and i will|vuelves|vuelvas|noch einmal|reviens|voltares|再敢",
     "MENACE": "watch your back|one eye open|will not walk|won't walk|not walk away|walk away from|get off so lightly|with shovels|know where you live|know where you sleep|know your route|your route home|where you live|where you sleep|accidents happen|you will regret|you'll regret|you will pay|last thing you|come for you|coming for you|will find you|will get you|set foot|show your face|if i see you|finish you|hunt you|you are dead|you're dead|be dead|cuidate la espalda|cuidado con|se donde vives|se donde duermes|te vas a arrepentir|te esper*|pass auf|ich weiss wo du|ich weiß wo du|du wirst es bereuen|wir warten auf dich|gare a toi|je sais ou tu|tu vas le regretter|on t'attend|remets les pieds|remets un pied|sei onde moras|sei onde dormes|vais arrepender*|esperamos por ti|再敢|小心点|等着瞧|知道你住|后悔",
@@ -61,10 +61,10 @@ ABUSIVE: tuple[str, ...] = (
     "nobody would notice if you stayed face down in the ditch by {place}", "nobody would shed a tear if you never came back up from the silo", "no one would miss you if you fell into the slurry pit", "the world gets cleaner the day you get caught in the auger", "the farm gets better the day you fall into the slurry pit", "i hope you die under your own {tool}", "i hope you get caught in the press", "drop dead, you {insult}", "kill yourself, nobody likes you", "you should have been crushed by the {tool}",
     "{group} belong in a cage and not in our crew", "{group} belong in the kitchen and not near a {tool}", "{group} spread like mildew and steal whatever is not nailed down", "{group} breed like aphids and live off our work", "i would not let {group} near a {tool}, they do not have the brains for it", "every season went bad since they let {group} in; send them all back", "every field went bad the year they let {group} in; lock the gate on them", "typical: {group} are too stupid to tell stippling from mud", "just what you expect: {group} are too dirty to tell webbing from mud", "{group} are too lazy to work", "the truth is that {group} are {dehuman} and ought to be wiped out", "i said it before: {group} are {dehuman} and ought to be shipped home", "{group} are {dehuman} and ought to be driven off the land", "we should spray {group} along with the {crop}, same kind of pest", "we should gas {group} along with the {crop}, same kind of pest", "{group} are {dehuman}", "get rid of {group}, they ruin everything", "all {group} are thieves and {dehuman}",
     "i keep picturing the two of us naked in the tractor cab, my hands between your thighs", "we did it all night on the seed sacks and he moaned so loud the {crop} shook", "we did it three times on the potting bench and she moaned so loud", "she wanted my dick right there on the bench, and i gave it to her {num} times", "he wanted my cock in the greenhouse", "send me nudes from {place}, i want to see you without that lab coat", "show me nudes, i want to see you naked", "nice ass on the woman at {place}, i would fuck her any day", "nice tits on the woman at the desk, i would fuck her any day", "i am so horny when you bend over the {crop}, meet me behind the cold store", "i get so wet when you bend over the {crop}", "i get so hard when you bend over the {crop}, meet me behind the shed", "i want to lick you all over, strip for me", "her boobs make me so horny",
-    "no eres mas que un imbecil y un cabron, deja de tocar nuestras etiquetas", "eres un idiota y un inutil, deja de tocar nuestras etiquetas", "vete a la mierda con tus {num} revisiones", "los recolectores extranjeros son basura y habria que echarlos a todos", "esas mujeres son una plaga y habria que echarlas a todas", "los ostrianos son escoria", "quiero verte desnuda en el invernadero {num}, me pones muy cachondo", "nadie te echaria de menos si te tragara el silo", "si vuelves a la parcela {num}, te rompo las piernas", "ojala te mueras, gilipollas", "te voy a matar, cabron",
-    "du bist ein trottel und ein versager, finger weg von unseren daten", "verpiss dich mit deinen {num} gutachten, du arschloch", "die frauen im labor sind ungeziefer und gehoren vom hof gejagt", "die ostrier sind abschaum und gehoren vom hof gejagt", "die fremden erntehelfer sind dreck und gehoren verjagt", "ich will dich nackt im gewachshaus {num}, du machst mich so geil", "keiner wurde weinen, wenn du in die presse fallst", "komm noch einmal auf schlag {num}, und ich schlag dir die zahne ein", "ich brech dir die beine, du depp", "halt die fresse, du wichser",
-    "tu n'es qu'un connard et un minable, arrete de toucher a nos etiquettes", "va te faire foutre avec tes {num} relectures", "ces bonnes femmes sont des parasites, il faut les chasser", "ces cueilleurs etrangers sont de la vermine, il faut les chasser", "les ostriens sont des ordures, il faut les chasser", "je te veux nue dans la serre {num}, tu me rends fou de desir", "personne ne te pleurerait si tu restais au fond du fosse", "reviens sur la parcelle {num} et je te casse les dents", "creve, espece de salaud", "je vais te tuer, connard",
-    "nao passas de um idiota e de um inutil, para de mexer nas nossas etiquetas", "vai a merda com as tuas {num} revisoes", "os apanhadores estrangeiros sao lixo e deviam ser todos expulsos", "essas mulheres sao uma praga e deviam ser todas expulsas", "os ostrianos sao escumalha", "quero ver-te nua na estufa {num}, deixas-me cheio de tesao", "ninguem choraria se caisses no silo", "se voltares ao talhao {num}, parto-te as pernas", "es um imbecil e um cabrao, deixa de mexer nas etiquetas", "vou matar-te, otario",
+    "no eres mas que un imbecil y un cabron, deja de tocar nuestras etiquetas", "eres un idiota y un inutil, deja de tocar nuestras etiquetas", "vete a la mierda con tus {num} revisiones", "los recolectores extranjeros son basura y habria que echarlos a todos", "esas mujeres son una plaga y habria que echarlas a todas", "los ostrianos son escoria", "quiero verte desnuda en el invernadero {num}, me pones muy cachondo", "nadie te echaria de menos si te tragara el silo", "si vuelves a la parcela {num}, te rompo las piernas", "si vuelves por aqui, acabo contigo", "ojala te mueras, gilipollas", "te voy a matar, cabron",
+    "du bist ein trottel und ein versager, finger weg von unseren daten", "verpiss dich mit deinen {num} gutachten, du arschloch", "die frauen im labor sind ungeziefer und gehoren vom hof gejagt", "die ostrier sind abschaum und gehoren vom hof gejagt", "die fremden erntehelfer sind dreck und gehoren verjagt", "ich will dich nackt im gewachshaus {num}, du machst mich so geil", "keiner wurde weinen, wenn du in die presse fallst", "komm noch einmal auf schlag {num}, und ich schlag dir die zahne ein", "ich brech dir die beine, du depp", "komm noch einmal auf schlag {num}, und ich mach dich fertig", "halt die fresse, du wichser",
+    "tu n'es qu'un connard et un minable, arrete de toucher a nos etiquettes", "va te faire foutre avec tes {num} relectures", "ces bonnes femmes sont des parasites, il faut les chasser", "ces cueilleurs etrangers sont de la vermine, il faut les chasser", "les ostriens sont des ordures, il faut les chasser", "je te veux nue dans la serre {num}, tu me rends fou de desir", "personne ne te pleurerait si tu restais au fond du fosse", "reviens sur la parcelle {num} et je te casse les dents", "reviens sur la parcelle {num} et je te demolis", "creve, espece de salaud", "je vais te tuer, connard",
+    "nao passas de um idiota e de um inutil, para de mexer nas nossas etiquetas", "vai a merda com as tuas {num} revisoes", "os apanhadores estrangeiros sao lixo e deviam ser todos expulsos", "essas mulheres sao uma praga e deviam ser todas expulsas", "os ostrianos sao escumalha", "quero ver-te nua na estufa {num}, deixas-me cheio de tesao", "ninguem choraria se caisses no silo", "se voltares ao talhao {num}, parto-te as pernas", "se voltares ao talhao {num}, acabo contigo", "es um imbecil e um cabrao, deixa de mexer nas etiquetas", "vou matar-te, otario",
     "你就是个傻瓜，废物一个，别再碰我们的标签", "带着你的{num}份审核滚蛋吧，蠢货", "那些女人都是垃圾，应该全部赶走", "外国采摘工都是寄生虫，应该赶出去", "奥斯特人是渣滓，应该全部赶走", "那些外地采摘工都是害虫，应该全部赶走", "他们都是害虫，应该清除", "我想看你在{num}号温室里脱光，让我受不了", "没人会为你哭，你掉进筒仓死了才好", "你再敢到{num}号地块来，我就打断你的腿", "去死吧，你这个白痴", "闭嘴，你这个混蛋",
 )
 
