@@ -114,6 +114,7 @@ def pack(sizes: DataFrame, specs: DataFrame, items_per_group: int = ITEMS_PER_GR
     kinds = specs.filter("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct().orderBy("container_kind", "capacity_tokens").collect()
     if not kinds:
         return sizes.sparkSession.createDataFrame([], "container_kind string, capacity_tokens int, container_id string, doc_id long, piece int, start_token int, tokens int")
+    sizes = checkpoint(sizes.select("doc_id", "tokens"))  # texts are encoded once
     cap, tokens = F.col("capacity_tokens"), F.coalesce(F.col("tokens"), F.lit(0))
     each = F.explode(F.array(*[F.struct(F.lit(k["container_kind"]).alias("container_kind"), F.lit(k["capacity_tokens"]).alias("capacity_tokens")) for k in kinds]))
     pieces = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("int").alias("tokens"), each.alias("k")).select("doc_id", "tokens", "k.*")
