@@ -10,24 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 
-def draw_table(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """(rep, cluster, weight): how often each of the sorted clusters is drawn in a repetition.
+#: Draws that the driver makes at most (clusters of all groups times repetitions); beyond, weights are Poisson.
+MOST_DRAWS = 3_000_000
 
-    Draws are those of Python's generator over the sorted list of clusters, made on the
-    driver; for evaluations of bounded size (reps times clusters rows).
+
+def draw_table(clusters: DataFrame, cluster: str, reps: int, seed: int, *keys: str) -> DataFrame:
+    """(keys, rep, cluster, weight): how often each of the sorted clusters of a group is drawn in a repetition.
+
+    Draws are those of Python's generator over the group's sorted list of clusters,
+    made on the driver; for evaluations of bounded size (reps times clusters rows).
     """
-    names = [r[0] for r in clusters.select(cluster).filter(f"{cluster} IS NOT NULL").distinct().orderBy(cluster).collect()]
-    rng, rows = random.Random(seed), []
-    for rep in range(reps):
-        counts: dict = {}
-        for _ in names:
-            pick = rng.choice(names)
-            counts[pick] = counts.get(pick, 0) + 1
-        rows.extend((rep, name, n) for name, n in counts.items())
-    frame = pd.DataFrame(rows, columns=["rep", cluster, "weight"]).astype({"rep": "int32", "weight": "int32"})
-    kind = clusters.schema[cluster].dataType.simpleString()
-    return clusters.sparkSession.createDataFrame(frame, f"rep int, {cluster} {kind}, weight int") if rows else clusters.sparkSession.createDataFrame([], f"rep int, {cluster} {kind}, weight int")
+    lists: dict[tuple, list] = {}
+    for r in clusters.select(*keys, cluster).filter(f"{cluster} IS NOT NULL").distinct().orderBy(cluster).collect():
+        lists.setdefault(tuple(r)[:-1], []).append(r[-1])
+    frames = []
+    for key, names in lists.items():
+        rng, places, all_ = random.Random(seed), range(len(names)), pd.Series(names)
+        for rep in range(reps):
+            picked, counts = np.unique([rng.choice(places) for _ in places], return_counts=True)
+            frames.append(pd.DataFrame({**dict(zip(keys, key, strict=True)), "rep": rep, cluster: all_.to_numpy()[picked], "weight": counts}))
+    kinds = [*(f"{k} {clusters.schema[k].dataType.simpleString()}" for k in keys), "rep int", f"{cluster} {clusters.schema[cluster].dataType.simpleString()}", "weight int"]
+    return clusters.sparkSession.createDataFrame(pd.concat(frames, ignore_index=True).astype({"rep": "int32", "weight": "int32"}) if frames else [], ", ".join(kinds))
 
 
 def poisson_draws(sums: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
@@ -38,7 +43,23 @@ def poisson_draws(sums: DataFrame, cluster: str, reps: int, seed: int) -> DataFr
         total += term
         steps = steps + F.when(u > total, 1).otherwise(0)
         term /= k + 1
-    return sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("weight", steps).filter("weight > 0")
+    # a few sums make many rows: they are spread over all cores first
+    spread = sums.repartition(max(sums.sparkSession.sparkContext.defaultParallelism, 8), cluster)
+    return spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("weight", steps).filter("weight > 0")
+
+
+def weighed(sums: DataFrame, cluster: str, reps: int, seed: int, *keys: str) -> DataFrame:
+    """``sums`` (rows per cluster and keys) with (rep, weight): the driver's draws, or Poisson weights beyond MOST_DRAWS.
+
+    Every group of the keys draws from its own clusters; under one seed equal lists get
+    equal draws. Rows without a cluster are in no draw.
+    """
+    sums = sums.filter(F.col(cluster).isNotNull())
+    if sums.select(*keys, cluster).distinct().count() * reps <= MOST_DRAWS:
+        draws = draw_table(sums, cluster, reps, seed, *keys)
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in (*keys, cluster)]
+        return sums.alias("s").join(draws.alias("d"), same).select("s.*", "d.rep", "d.weight")
+    return poisson_draws(sums, cluster, reps, seed)
 
 
 def interval(values: DataFrame, value: str, *keys: str, level: float = 0.95) -> DataFrame:
@@ -52,9 +73,9 @@ def rate_interval(df: DataFrame, cluster: str, flag: Column, *keys: str, reps: i
 
     Per cluster only hits and rows are kept; the estimate is over the rows as they are.
     """
-    sums = df.groupBy(cluster, *keys).agg(F.count_if(flag).alias("h"), F.count("*").alias("n"))
-    weights = draw_table(df, cluster, reps, seed) if draws is None else draws
-    rates = sums.join(weights, cluster).groupBy("rep", *keys).agg((F.sum(F.col("h") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("rate"))
+    sums = checkpoint(df.groupBy(cluster, *keys).agg(F.count_if(flag).alias("h"), F.count("*").alias("n")))
+    drawn = weighed(sums, cluster, reps, seed, *keys) if draws is None else sums.join(draws, cluster)
+    rates = drawn.groupBy("rep", *keys).agg((F.sum(F.col("h") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("rate"))
     estimate = sums.groupBy(*keys).agg((F.sum("h") / F.sum("n")).alias("estimate"))
     ci = interval(rates, "rate", *keys)
     return estimate.join(ci, list(keys)) if keys else estimate.crossJoin(ci)
@@ -62,8 +83,8 @@ def rate_interval(df: DataFrame, cluster: str, flag: Column, *keys: str, reps: i
 
 def paired_delta_interval(pairs: DataFrame, cluster: str, left: Column, right: Column, reps: int = 1000, seed: int = 0) -> DataFrame:
     """Interval of the difference of two rates under the same draws: estimate is right minus left."""
-    sums = pairs.groupBy(cluster).agg(F.sum(right.cast("double") - left.cast("double")).alias("d"), F.count("*").alias("n"))
-    values = sums.join(draw_table(pairs, cluster, reps, seed), cluster).groupBy("rep").agg((F.sum(F.col("d") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("delta"))
+    sums = checkpoint(pairs.groupBy(cluster).agg(F.sum(right.cast("double") - left.cast("double")).alias("d"), F.count("*").alias("n")))
+    values = weighed(sums, cluster, reps, seed).groupBy("rep").agg((F.sum(F.col("d") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("delta"))
     return sums.agg((F.sum("d") / F.sum("n")).alias("estimate")).crossJoin(interval(values, "delta"))
 
 
@@ -71,9 +92,9 @@ def macro_f1_interval(df: DataFrame, cluster: str, truth: str, predicted: str, r
     """Interval of macro F1: confusion cells per cluster are weighed, so rows are read once."""
     from .aggregate import safe_divide
 
-    cells = df.groupBy(cluster, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    weighed = cells.join(draw_table(df, cluster, reps, seed), cluster).withColumn("n", F.col("n") * F.col("weight"))
-    both = weighed.withColumn("rep", F.col("rep")).unionByName(cells.withColumn("rep", F.lit(-1)).withColumn("weight", F.lit(1)))
+    cells = checkpoint(df.groupBy(cluster, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n")))
+    drawn = weighed(cells, cluster, reps, seed).withColumn("n", F.col("n") * F.col("weight"))
+    both = drawn.unionByName(cells.withColumn("rep", F.lit(-1)).withColumn("weight", F.lit(1)))
     side = F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("a"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.lit(True).alias("truth")), F.struct(F.col("p").alias("c"), F.col("n").alias("a"), F.lit(0).cast("long").alias("tp"), F.lit(False).alias("truth"))))
     per = both.select("rep", side.alias("s")).filter("s.c IS NOT NULL").groupBy("rep", "s.c").agg(F.sum("s.a").alias("a"), F.sum("s.tp").alias("tp"), F.sum(F.when(F.col("s.truth"), F.col("s.a")).otherwise(0)).alias("t")).filter("t > 0")
     scores = per.groupBy("rep").agg(F.avg(safe_divide(2 * F.col("tp"), F.col("a"))).alias("v"))
@@ -82,9 +103,11 @@ def macro_f1_interval(df: DataFrame, cluster: str, truth: str, predicted: str, r
 
 def two_population_interval(a: DataFrame, b: DataFrame, cluster: str, flag_a: Column, flag_b: Column, reps: int = 1000, seed: int = 0) -> DataFrame:
     """Interval of the difference of two rates with independent draws for each population."""
-    ra = a.groupBy(cluster).agg(F.count_if(flag_a).alias("h"), F.count("*").alias("n")).join(draw_table(a, cluster, reps, seed), cluster).groupBy("rep").agg((F.sum(F.expr("h * weight")) / F.sum(F.expr("n * weight"))).alias("x"))
-    rb = b.groupBy(cluster).agg(F.count_if(flag_b).alias("h"), F.count("*").alias("n")).join(draw_table(b, cluster, reps, seed + 1), cluster).groupBy("rep").agg((F.sum(F.expr("h * weight")) / F.sum(F.expr("n * weight"))).alias("y"))
-    estimate = a.agg(F.avg(flag_a.cast("double")).alias("_a")).crossJoin(b.agg(F.avg(flag_b.cast("double")).alias("_b"))).select((F.col("_a") - F.col("_b")).alias("estimate"))
+    sums = lambda df, flag: checkpoint(df.groupBy(cluster).agg(F.count_if(flag).alias("h"), F.count("*").alias("n")))
+    rate = lambda s, at, name: weighed(s, cluster, reps, at).groupBy("rep").agg((F.sum(F.expr("h * weight")) / F.sum(F.expr("n * weight"))).alias(name))
+    sa, sb = sums(a, flag_a), sums(b, flag_b)
+    ra, rb = rate(sa, seed, "x"), rate(sb, seed + 1, "y")
+    estimate = sa.agg((F.sum("h") / F.sum("n")).alias("_a")).crossJoin(sb.agg((F.sum("h") / F.sum("n")).alias("_b"))).select((F.col("_a") - F.col("_b")).alias("estimate"))
     return estimate.crossJoin(interval(ra.join(rb, "rep").withColumn("d", F.col("x") - F.col("y")), "d"))
 
 

@@ -10,15 +10,21 @@ from ..functions import stats
 from ..operators import bootstrap as B
 from ..operators import probe as P
 from ..operators.rank import auroc
-from ..session import table
+from ..session import checkpoint, table
 from .base import OUTCOMES, outcomes, rounded
+from .join_queries import _image as image
 from .registry import query
 
-REPS = 200
+REPS = 1000
 
 
 def _with_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes(spark, sf_dir).withColumn("cluster", F.col("query_class_id").cast("string"))
+    """Outcomes with the family as their cluster; where the manifest names none, that of the source row or its image, else the id alone."""
+    rows = table(spark, sf_dir, "provenance").select(F.col("id").alias("source_id"), "family_id", image("source_image_id").alias("image"))
+    by_image = rows.filter("image IS NOT NULL").groupBy("image").agg(F.min("family_id").alias("image_family"))
+    known = rows.groupBy("source_id").agg(F.min("family_id").alias("source_family"), F.min("image").alias("image")).join(by_image, "image", "left").select("source_id", F.coalesce("source_family", "image_family").alias("source_family"))
+    lost = table(spark, sf_dir, "manifest").groupBy("id").agg(F.min("family_id").alias("f"), F.min("source_id").alias("source_id")).filter("f IS NULL").join(known, "source_id").select("id", "source_family")
+    return outcomes(spark, sf_dir).join(lost, "id", "left").withColumn("cluster", F.coalesce("family_id", "source_family", F.concat(F.lit("id/"), "id")))
 
 
 @query()
@@ -38,9 +44,8 @@ def j03_pooled_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j04_several_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _with_cluster(spark, sf_dir)
-    draws = B.draw_table(o, "cluster", REPS, 5)
-    one = lambda name, flag: B.rate_interval(o, "cluster", flag, reps=REPS, draws=draws).withColumn("statistic", F.lit(name))
+    o = checkpoint(_with_cluster(spark, sf_dir).select("cluster", "parsed", "semantic"))
+    one = lambda name, flag: B.rate_interval(o, "cluster", flag, reps=REPS, seed=5).withColumn("statistic", F.lit(name))
     return one("parsed", F.col("parsed")).unionByName(one("semantic", F.col("semantic")))
 
 
@@ -64,7 +69,7 @@ def _spread(d: pd.DataFrame) -> float:
 
 @query()
 def j07_any_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = B.bootstrap_statistic(table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("value")), ["value"], _spread, 64, 7)
+    values = B.bootstrap_statistic(table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("value")), ["value"], _spread, REPS, 7)
     return B.interval(values, "value")
 
 
