@@ -78,6 +78,25 @@ def test_components_equal_brute_force(spark, seed):
     assert groups.union_find_groups(df.limit(0)).count() == 0
 
 
+def test_rising_chain_in_random_order_ends(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(groups, "checkpoint", lambda df, plain=groups.checkpoint: seen.append(1) or (plain(df) if len(seen) < 30 else pytest.fail("the contraction makes no progress")))
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    ids = [f"IP{i:09d}" for i in range(2000)]
+    edges = list(zip(ids, ids[1:], strict=False))
+    random.Random(3).shuffle(edges)
+    df = spark.createDataFrame(edges, "a string, b string").repartition(12)
+    try:
+        found = dict(map(tuple, groups.union_find_groups(df, nodes_per_forest=400, edges_per_partition=400).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(ids, ids[0])
+
+
 def test_assignment_keeps_groups_together(spark):
     rng = random.Random(5)
     rows = []
