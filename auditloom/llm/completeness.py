@@ -3,8 +3,8 @@
 A stack automaton reads each text: brackets, quoted strings with escapes, code
 fences and tags. What it cannot decide alone (a last sentence without a full stop,
 a value that ends inside a word) is held against baselines of the whole table: how
-often texts that open alike end with a terminator, and which words and values the
-same field holds elsewhere.
+often texts of the same source that open alike end with a terminator, and which words
+and values the same field holds elsewhere.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ _BEFORE_STRING = frozenset("{[,:")
 
 #: An unfinished sentence is a cut if at least this share of the texts that open alike end with a terminator.
 ENDED_SHARE = 0.3
+#: A source with at least so many texts that open alike has a baseline of its own; fewer are held against all sources.
+SOURCE_TEXTS = 20
+#: Source key under which the texts of all sources are counted.
+POOLED = "*"
 #: A value is cut if longer words or values that begin with it are this many times as frequent in its field.
 LONGER_RATIO = 5
 #: Fields under which first words are counted: of all running texts, and of those that are one word.
@@ -153,19 +157,24 @@ def scan(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[tuple[str,
     return False, prose, [x for x in short if x[1]]
 
 
-_SCHEMA = "text_id string, n long, cut boolean, prose array<struct<first string, opening string, ended boolean>>, short array<struct<field string, value string>>"
+_SCHEMA = "text_id string, sources array<string>, counts array<long>, cut boolean, prose array<struct<first string, opening string, ended boolean>>, short array<struct<field string, value string>>"
 
 
 def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [scan(t) for t in pdf.raw_text]
-        yield pd.DataFrame({"text_id": pdf.text_id, "n": pdf.n, "cut": [x[0] for x in found], "prose": [[{"first": a, "opening": b, "ended": c} for a, b, c in x[1]] for x in found], "short": [[{"field": a, "value": b} for a, b in x[2]] for x in found]})
+        yield pd.DataFrame({"text_id": pdf.text_id, "sources": pdf.sources, "counts": pdf.counts, "cut": [x[0] for x in found], "prose": [[{"first": a, "opening": b, "ended": c} for a, b, c in x[1]] for x in found], "short": [[{"field": a, "value": b} for a, b in x[2]] for x in found]})
 
 
 def text_id() -> F.Column:
     return F.sha2(F.col("raw_text").cast("binary"), 256)
 
 
+def source_key() -> F.Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
 def _prefixes(name: str) -> F.Column:
     """All proper prefixes of a short string column."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda k: F.substring(F.col(name), F.lit(1), k))
@@ -188,36 +197,42 @@ def _cut_values(vals: DataFrame) -> DataFrame:
 
 
 def cut_texts(answers: DataFrame) -> DataFrame:
-    """(text_id, n) of each distinct raw_text that was cut off; n is the number of rows that bear it.
+    """(text_id, source, n) of each distinct raw_text that was cut off, per source_key; n is the number of the source's rows that bear it.
 
     Padding, end-of-sequence tokens and marks of omission at the end are taken off
     first. Cut are: an open bracket, string, escape, fence or tag; half a character
     (the replacement sign) or a mark with the missing length at the end; a last
-    sentence without terminator whose opening usually ends with one; a value inside
+    sentence without terminator whose opening usually ends with one in that source (in
+    all, where the source has fewer than SOURCE_TEXTS such texts); a value inside
     that ends in such a sentence, or in the beginning of a word or value that its
     field holds at least LONGER_RATIO times as often. Null, empty and blank texts
     are not cut. All counts are over all distinct texts; an empty table gives no rows.
     """
-    distinct = answers.filter("raw_text IS NOT NULL").groupBy("raw_text").agg(F.count("*").alias("n")).select(text_id().alias("text_id"), "n", "raw_text")
+    texts = answers.filter("raw_text IS NOT NULL").groupBy("raw_text", source_key().alias("source")).agg(F.count("*").alias("n"))
+    distinct = texts.groupBy("raw_text").agg(F.collect_list(F.struct("source", "n")).alias("by")).select(text_id().alias("text_id"), F.col("by.source").alias("sources"), F.col("by.n").alias("counts"), "raw_text")
     seen = checkpoint(distinct.mapInPandas(_scan_batches, _SCHEMA))
-    prose = seen.filter("NOT cut").select("text_id", "n", F.explode("prose").alias("p"))
-    keys = prose.select(F.explode(F.array_distinct(F.array("p.first", "p.opening"))).alias("opening"), "p.ended")
-    openings = checkpoint(keys.groupBy("opening").agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended")).alias("unended")))
-    runs_on = openings.filter((F.col("ended") > 0) & (F.col("ended") >= ENDED_SHARE * (F.col("ended") + F.col("unended"))))
-    unended = prose.filter("NOT p.ended").select("text_id", "n", F.col("p.opening").alias("opening"))
-    by_prose = salted_join(unended, runs_on.select("opening"), "opening", hot_keys(openings, "opening", "unended"), F.col("text_id"), "left_semi").select("text_id", "n")
-    short = seen.filter("NOT cut").select("text_id", "n", F.explode(F.array_distinct("short")).alias("s")).select("text_id", "n", F.struct("s.field", "s.value").alias("s"))
+    per_source = lambda df: df.select("text_id", F.explode(F.arrays_zip("sources", "counts")).alias("_by")).select("text_id", "_by.sources", "_by.counts").toDF("text_id", "source", "n")
+    prose = seen.filter("NOT cut").select("text_id", "sources", "counts", F.explode("prose").alias("p"))
+    keys = prose.select(F.explode(F.array_distinct(F.array("p.first", "p.opening"))).alias("opening"), "p.ended", "sources").select("opening", "ended", F.explode(F.array_append("sources", POOLED)).alias("source"))
+    openings = checkpoint(keys.groupBy(F.struct("opening", "source").alias("k")).agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended")).alias("unended")))
+    pooled = openings.filter(F.col("k.source") == POOLED).select(F.col("k.opening").alias("opening"), F.col("ended").alias("all_ended"), F.col("unended").alias("all_unended"))
+    own = F.col("ended") + F.col("unended") >= SOURCE_TEXTS
+    base = checkpoint(openings.filter(F.col("k.source") != POOLED).withColumn("opening", F.col("k.opening")).join(pooled, "opening").select("k", "unended", F.when(own, F.col("ended")).otherwise(F.col("all_ended")).alias("e"), F.when(own, F.col("unended")).otherwise(F.col("all_unended")).alias("u")))
+    runs_on = base.filter((F.col("e") > 0) & (F.col("e") >= ENDED_SHARE * (F.col("e") + F.col("u"))))
+    unended = prose.filter("NOT p.ended").select("text_id", F.col("p.opening").alias("opening"), F.explode(F.arrays_zip("sources", "counts")).alias("by")).select("text_id", F.col("by.sources").alias("source"), F.col("by.counts").alias("n"), F.struct("opening", F.col("by.sources").alias("source")).alias("k"))
+    by_prose = salted_join(unended, runs_on.select("k"), "k", hot_keys(base, "k", "unended"), F.col("text_id"), "left_semi").select("text_id", "source", "n")
+    short = seen.filter("NOT cut").select("text_id", "sources", "counts", F.explode(F.array_distinct("short")).alias("s")).select("text_id", "sources", "counts", F.struct("s.field", "s.value").alias("s"))
     vals = checkpoint(short.groupBy("s").agg(F.count("*").alias("n")).select("s.field", "s.value", "n"))
     bad = checkpoint(_cut_values(vals).join(vals, ["field", "value"]).select(F.struct("field", "value").alias("s"), "n"))
-    by_value = salted_join(short, bad.select("s"), "s", hot_keys(bad, "s", "n"), F.col("text_id"), "left_semi").select("text_id", "n")
-    return seen.filter("cut").select("text_id", "n").union(by_prose).union(by_value).distinct()
+    by_value = salted_join(short, bad.select("s"), "s", hot_keys(bad, "s", "n"), F.col("text_id"), "left_semi")
+    return per_source(seen.filter("cut")).union(by_prose).union(per_source(by_value)).distinct()
 
 
 def cut_answers(predictions: DataFrame) -> DataFrame:
     """(id, attempt, source) of each delivered answer that was cut off, repeats included."""
-    bad = checkpoint(cut_texts(predictions))
-    rows = predictions.filter("raw_text IS NOT NULL").select("id", "attempt", "source", text_id().alias("text_id"))
-    return salted_join(rows, bad.select("text_id"), "text_id", hot_keys(bad, "text_id", "n"), F.concat_ws("/", "id", "attempt"), "left_semi").select("id", "attempt", "source")
+    bad = checkpoint(cut_texts(predictions).select(F.struct("text_id", "source").alias("k"), "n"))
+    rows = predictions.filter("raw_text IS NOT NULL").select("id", "attempt", "source", F.struct(text_id().alias("text_id"), source_key().alias("source")).alias("k"))
+    return salted_join(rows, bad.select("k"), "k", hot_keys(bad, "k", "n"), F.concat_ws("/", "id", "attempt"), "left_semi").select("id", "attempt", "source")
 
 
 def truncation_report(predictions: DataFrame) -> DataFrame:

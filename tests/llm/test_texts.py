@@ -30,6 +30,15 @@ def test_cut_answers_by_baselines(spark):
     assert completeness.cut_answers(df.limit(0)).count() == 0
 
 
+def test_baselines_are_those_of_the_source(spark):
+    ended, plain = "The pale spots near leaf {} show the moth.", "The pale spots near leaf {} show the moth"
+    rows = [(f"hot{i}", "hot", plain.format(i)) for i in range(200)] + [(f"full{i}", "full", ended.format(1000 + i)) for i in range(40)] + [("cut", "full", "The pale spots near leaf 7 show th")]
+    rows += [(f"bare{i}", "bare", f"A few webs hang from stem {i}") for i in range(30)] + [(f"dot{i}", None, f"A few webs hang from stem {i + 100}.") for i in range(200)]
+    rows += [("both1", "full", plain.format(9999)), ("both2", "hot", plain.format(9999)), ("few", "rare", "A few webs hang from ste")]
+    df = spark.createDataFrame([(i, 1, s, t) for i, s, t in rows], "id string, attempt int, source string, raw_text string")
+    assert {r["id"] for r in completeness.cut_answers(df).collect()} == {"cut", "both1", "few"}
+
+
 Q = "Decide if the pest named 'vine moth' is backed by what can be seen in the picture. Answer with one JSON object holding evidence_present and reliability; a short remark is allowed. Where support is missing, abstain."
 SYSTEM = "You assess visual evidence. Keep to the JSON contract."
 
