@@ -154,10 +154,12 @@ def family_keys(feature_rows: DataFrame, provenance: DataFrame) -> DataFrame:
     """(id, family_key, first_batch) per distinct id.
 
     The key is the family that provenance gives to the id, else the family of the
-    id's source image, else the row's own family, image or id. All ids of a family
-    have one key, whatever batch they came in.
+    id's source image, else the row's own family, image or id. Own values are those of
+    the id's earliest batch, even where it lacks them: a family that comes later moves
+    no id. All ids of a family known by provenance have one key, whatever batch they came in.
     """
-    own = feature_rows.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("own_family"), plain_image(F.col("source_image_id")).alias("own_image"), "batch_no").filter("id IS NOT NULL").groupBy("id").agg(F.min("own_family").alias("own_family"), F.min("own_image").alias("own_image"), F.min("batch_no").alias("first_batch"))
+    first = lambda c: F.min(F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("b"), F.isnull(c).alias("lacks"), F.col(c).alias("v")))["v"]
+    own = feature_rows.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("own_family"), plain_image(F.col("source_image_id")).alias("own_image"), "batch_no").filter("id IS NOT NULL").groupBy("id").agg(first("own_family").alias("own_family"), first("own_image").alias("own_image"), F.min("batch_no").alias("first_batch"))
     rows = provenance.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("family"), plain_image(F.col("source_image_id")).alias("image"))
     by_id = rows.groupBy("id").agg(F.min("family").alias("family"), F.min("image").alias("image"))
     by_image = rows.filter("image IS NOT NULL AND family IS NOT NULL").groupBy("image").agg(F.min("family").alias("image_family"))

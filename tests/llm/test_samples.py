@@ -72,3 +72,12 @@ def test_stable_sample_keeps_its_members(spark):
     assert positions.count() == 256
     assert sampling.stable_sample(f.limit(0), p).count() == 0
     assert {r["first_batch"] for r in sampling.growth_report(f, p).collect()} >= set(range(1, 9))
+
+
+def test_late_family_moves_no_id(spark):
+    rows = [("a", None, "IP000000001", 1), ("b", "f2", None, 1), ("c", None, None, 2), ("d", None, None, 3), ("d", "f4", None, 3)]
+    late = [("a", "f1", "IP000000000", 2), ("b", "f0", None, 3), ("c", "f3", "IP000000002", 4)]
+    provenance = spark.createDataFrame([], "id string, family_id string, source_image_id string")
+    keys = lambda r: {x["id"]: x["family_key"] for x in sampling.family_keys(spark.createDataFrame(r, "id string, family_id string, source_image_id string, batch_no int"), provenance).collect()}
+    before = keys(rows)
+    assert keys(rows + late) == before and before["d"] == "f4"
