@@ -55,7 +55,7 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.category_plan(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "sample_targets"), table(spark, sf_dir, "class_catalog"))
+    return sampling.category_report(table(spark, sf_dir, "feature_rows"), table(spark, sf_dir, "sample_targets"), table(spark, sf_dir, "class_catalog"))
 
 
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

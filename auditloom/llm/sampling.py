@@ -114,6 +114,18 @@ def _plan(counts: DataFrame, targets: DataFrame, part: int) -> DataFrame:
     return counts.sparkSession.createDataFrame(out, "class_band string, class_id int, probe_split string, available long, wanted double, drawn long, short_by double")
 
 
+def category_report(feature_rows: DataFrame, sample_targets: DataFrame, class_catalog: DataFrame | None = None, part: int = SAMPLE_PART) -> DataFrame:
+    """The plan with ``undrawn``, the part of ``wanted`` that is not drawn, and a row of totals per class band.
+
+    A band's row has null class_id and probe_split; its short_by and undrawn hold its
+    totals against each other, so what a sibling category makes up for is not short.
+    """
+    plan = category_plan(feature_rows, sample_targets, class_catalog, part)
+    bands = plan.groupBy("class_band").agg(*[F.sum(c).alias(c) for c in ("available", "wanted", "drawn")]).withColumn("short_by", F.greatest(F.lit(0.0), F.col("wanted") - F.col("available")))
+    both = plan.unionByName(bands, allowMissingColumns=True)
+    return both.withColumn("undrawn", F.greatest(F.lit(0.0), F.col("wanted") - F.col("drawn")))
+
+
 def draw_sample(feature_rows: DataFrame, sample_targets: DataFrame, class_catalog: DataFrame | None = None, part: int = SAMPLE_PART, seed: int = 0) -> DataFrame:
     """(id, class_id, probe_split, class_band, draw_rank): in each category the ``drawn`` ids of least permuted rank.
 

@@ -81,3 +81,11 @@ def test_late_family_moves_no_id(spark):
     keys = lambda r: {x["id"]: x["family_key"] for x in sampling.family_keys(spark.createDataFrame(r, "id string, family_id string, source_image_id string, batch_no int"), provenance).collect()}
     before = keys(rows)
     assert keys(rows + late) == before and before["d"] == "f4"
+
+
+def test_report_tells_what_is_not_drawn(spark):
+    rows = [(f"a{i}", 1, "probe_train", 1) for i in range(30)] + [(f"b{i}", 2, "probe_train", 1) for i in range(30)]
+    f = spark.createDataFrame(rows, "id string, class_id int, probe_split string, batch_no int")
+    targets = spark.createDataFrame([(1, "head", "probe_train", 0.5, 6), (2, "tail", "probe_train", 0.5, 0)], "class_id int, class_band string, probe_split string, target_share double, min_rows int")
+    report = {(r["class_band"], r["class_id"]): (r["available"], r["wanted"], r["drawn"], r["short_by"], r["undrawn"]) for r in sampling.category_report(f, targets).collect()}
+    assert report == {("head", 1): (30, 6.0, 6, 0.0, 0.0), ("tail", 2): (30, 3.0, 0, 0.0, 3.0), ("head", None): (30, 6.0, 6, 0.0, 0.0), ("tail", None): (30, 3.0, 0, 0.0, 3.0)}
