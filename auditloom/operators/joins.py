@@ -129,6 +129,18 @@ def near_hash_pairs(rows: DataFrame, key: str, hash64: str, group: str, most: in
     return pairs.filter(distance <= most).select(F.col("a.class").alias("left"), F.col("b.class").alias("right"), distance.alias("distance")).distinct(), members
 
 
+def near_hash_members(rows: DataFrame, key: str, hash64: str, group: str, most: int = 4, across_groups: bool = True) -> DataFrame:
+    """(key, class, links) of every row with a hash: ``links`` counts the rows of all classes paired with its own by ``near_hash_pairs``."""
+    pairs, members = near_hash_pairs(rows, key, hash64, group, most, across_groups)
+    members = checkpoint(members)
+    sizes = members.groupBy(F.col("class").alias("other")).agg(F.count("*").alias("n"))
+    ends = pairs.select(F.col("left").alias("class"), F.col("right").alias("other"))
+    ends = ends.union(ends.select("other", "class"))
+    links = checkpoint(ends.join(sizes, "other").groupBy("class").agg(F.sum("n").alias("links")))
+    counted = checkpoint(sizes.withColumnRenamed("other", "class").join(links, "class", "left").select("class", "n", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    return salted_join(members, counted.select("class", "links"), "class", hot_keys(counted, "class", "n"), F.col(key)).select(key, "class", "links")
+
+
 def nearest_rows(queries: DataFrame, corpus: DataFrame, key: str, vector: str, label: str, k: int = 1, block: int = 20_000) -> DataFrame:
     """(key, rank, neighbour, neighbour_label, similarity): the k most cosine-similar corpus rows of each query.
 

@@ -92,6 +92,13 @@ def d12_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.near_hash_pairs(_sign_hashes(spark, sf_dir), "vec_id", "h", "part", most=18)[0]
 
 
+@query()
+def d12_near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its class of equal hashes and the number of rows linked to it: all 64 signs, distance up to 4."""
+    bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
+    return J.near_hash_members(table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("part"), bits.alias("h")), "vec_id", "h", "part")
+
+
 @query(f"WITH q AS (SELECT {_IMAGE.format('left_id')} AS l, {_IMAGE.format('right_id')} AS r, phash_distance, structural_correlation FROM pair_matches), k AS (SELECT DISTINCT {_IMAGE.format('source_image_id')} AS i FROM provenance) SELECT count(*) AS pairs, count(*) FILTER (WHERE x.i IS NULL OR y.i IS NULL) AS unresolved, count(*) FILTER (WHERE phash_distance <= 8 AND structural_correlation >= 0.9) AS confident FROM q LEFT JOIN k x ON x.i = q.l LEFT JOIN k y ON y.i = q.r")
 def d13_reviewed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "provenance").select(_image("source_image_id").alias("i")).filter("i IS NOT NULL").distinct()
