@@ -113,6 +113,12 @@ def h11_word_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang = 'en'").select("doc_id", F.size(text.word_set(F.col("text"))).cast("long").alias("words"))
 
 
+@query()
+def h11_all_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every language; without SQL, as lower() of other scripts differs between engines."""
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(text.word_set(F.col("text"))).cast("long").alias("words"))
+
+
 @query("SELECT event_id, ['k=' || (props->>'$.k')] AS lines FROM events")
 def h12_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", json_contract.flattened(F.col("props")).alias("lines"))
