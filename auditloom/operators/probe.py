@@ -73,13 +73,35 @@ def linear_probe(train: DataFrame, test: DataFrame, key: str, vector: str, label
     to_index = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
     weights = F.create_map(*[F.lit(x) for v, n in counts.items() for x in (v, total / (len(counts) * n))])
     ready = known.select(to_index[F.col(label).cast("int")].cast("double").alias("_y"), weights[F.col(label).cast("int")].alias("_w"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_x"))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", standardization=False, regParam=1.0 / (c * total), maxIter=200).fit(ready)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", standardization=False, regParam=1.0 / (c * total), maxIter=2000).fit(ready)
     back = F.create_map(*[F.lit(x) for v, i in place.items() for x in (i, v)])
     scored = model.transform(test.filter(f"{vector} IS NOT NULL").withColumn("_x", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
     p = vector_to_array("probability")
     return scored.select(key, back[F.col("prediction").cast("int")].alias("predicted"), p.alias("probabilities"), F.array_max(p).alias("confidence"))
 
 
+def probe_controls(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, seeds: tuple[int, ...]) -> DataFrame:
+    """(seed, control, accuracy, n): what ``linear_probe`` reaches on permuted training labels, and guesses drawn in the training shares.
+
+    The labels are dealt anew in the order of a hash of key and seed; the guess of a
+    test row is the label of the training row that its own hash selects.
+    """
+    place = lambda df, by: df.withColumn("_i", F.row_number().over(Window.orderBy(by, key)) - 1)
+    known = train.filter(f"{label} IS NOT NULL AND {vector} IS NOT NULL").select(key, vector, label)
+    asked = test.filter(f"{label} IS NOT NULL AND {vector} IS NOT NULL").select(key, vector, label)
+    n, out = known.count(), None
+    ordered = place(known, F.col(key))
+    for seed in seeds:
+        dealt = place(known, F.xxhash64(key, F.lit(seed))).select("_i", F.col(label).alias("_dealt"))
+        shuffled = ordered.join(dealt, "_i").select(key, vector, F.col("_dealt").alias(label))
+        permuted = linear_probe(shuffled, asked, key, vector, label).select(key, "predicted")
+        guessed = asked.withColumn("_i", F.pmod(F.xxhash64(key, F.lit(seed), F.lit("guess")), F.lit(n)).cast("int")).join(ordered.select("_i", F.col(label).alias("predicted")), "_i").select(key, "predicted")
+        for name, guess in (("permuted_labels", permuted), ("stratified_guess", guessed)):
+            one = guess.join(asked.select(key, label), key).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n")).select(F.lit(seed).alias("seed"), F.lit(name).alias("control"), "accuracy", "n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def scaled_probabilities(p: Column, temperature: Column | float) -> Column:
     """Probabilities after dividing their logs by a temperature, cut at 1e-12 and normalized."""
     t = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature

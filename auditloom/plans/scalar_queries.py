@@ -40,6 +40,12 @@ def c05_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "manifest").filter("messages IS NOT NULL").select("id", F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: m["role"]).alias("roles"), F.size("messages").cast("long").alias("n"))
 
 
+@query()
+def c05_inference_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested messages a model may see: system and user with all their parts, without the answer."""
+    return table(spark, sf_dir, "manifest").filter("messages IS NOT NULL").select("id", F.filter("messages", lambda m: m["role"].isin("system", "user")).alias("messages"))
+
+
 @query("SELECT doc_id, coalesce(nullif(lang, ''), nullif(source, ''), site_key) AS label FROM documents")
 def c06_first_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.first_filled(F.col("lang"), F.col("source"), F.col("site_key")).alias("label"))
@@ -235,3 +241,11 @@ def h35_record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i14_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 4).alias("l1"), F.round(F.sqrt(stats.dot(e, e)), 4).alias("l2"))
+
+
+@query()
+def i14_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and median cosine of each vector with the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(following, "vec_id").select(stats.cosine(F.col("embedding"), F.col("other")).alias("c")).agg(F.min("c").alias("least"), F.median("c").alias("middle"), F.count("c").alias("pairs"))

@@ -111,6 +111,14 @@ def k03_linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.join(truth, "id").groupBy("s").agg(F.avg((F.col("predicted") == F.col("class_id")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+@query()
+def k03_probe_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy on probe_test of a probe trained on permuted labels and of guesses in the training shares, per seed."""
+    f = table(spark, sf_dir, "feature_rows").filter("class_id IS NOT NULL AND features IS NOT NULL").withColumn("s", F.lower(F.trim("probe_split"))).groupBy("id").agg(F.min(F.struct("batch_no", "feature_index", "s", "class_id", "features")).alias("r")).select("id", "r.s", "r.class_id", "r.features")
+    f = checkpoint(f)
+    return P.probe_controls(f.filter("s = 'probe_train'"), f.filter("s = 'probe_test'"), "id", "features", "class_id", (17, 29, 43))
+
+
 @query()
 def k04_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double"))).alias("w"))
