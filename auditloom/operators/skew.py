@@ -27,9 +27,10 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spre
     ``hot`` holds the hot keys (see ``hot_keys``; its size is bounded, so it is
     broadcast). Rows of ``big`` with a hot key get a salt from the hash of
     ``spread``; the rows of ``small`` for that key are repeated once per salt.
-    All rows are kept; ``how`` may be inner, left, left_semi or left_anti.
+    Rows of ``big`` without a key match nothing and are spread likewise. All rows
+    are kept; ``how`` may be inner, left, left_semi or left_anti.
     """
     mark = F.broadcast(hot.select(F.col(key).alias("_hot_key")).distinct())
-    left = big.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot_key")
+    left = big.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot_key")
     right = small.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key")
     return left.join(right, [key, "_salt"], how).drop("_salt")
