@@ -119,14 +119,22 @@ def assign_splits(provenance: DataFrame, targets: DataFrame, seed: int = 0) -> D
 def torn_groups(provenance: DataFrame) -> DataFrame:
     """(key_kind, key_id) of each family and each 24-digit component that the present splits tear apart.
 
-    Groups come from hash-to-min; a torn group has rows in more than one of train,
-    val and dev, and within it each family and component is checked by its own rows.
+    The groups of hash-to-min are tested first: only one with rows in more than one
+    of train, val and dev can hold a torn family or component. Within these groups a
+    row without family takes that of its image, and each family and component is
+    checked by its rows. Rows of equal image, family and component are one cell
+    before anything is joined. Null keys tear nothing; an empty table gives no rows.
     """
     rows = related_rows(provenance)
-    groups = related_groups(rows)
-    used = rows.filter(F.col("split").isin("train", "val", "dev")).join(groups, "node", "left").withColumn("group_id", F.coalesce("root", "node"))
-    bit = F.bit_or(F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2).otherwise(4))
-    keys = F.array(F.struct(F.lit("family").alias("key_kind"), F.col("family").alias("key_id")), F.struct(F.lit("component").alias("key_kind"), F.when(F.length("component") == 24, F.col("component")).alias("key_id")))
-    members = checkpoint(used.select("group_id", "split", F.explode(F.array_append(keys, F.struct(F.lit("none").alias("key_kind"), F.lit(None).cast("string").alias("key_id")))).alias("k")).filter("k.key_id IS NOT NULL OR k.key_kind = 'none'").groupBy("group_id", "k").agg(bit.alias("in_splits")))
-    torn = members.groupBy("group_id").agg(F.bit_or("in_splits").alias("of_group")).filter(F.bit_count("of_group") > 1)
-    return members.filter((F.bit_count("in_splits") > 1) & (F.col("k.key_kind") != "none")).join(torn, "group_id", "left_semi").select("k.key_kind", "k.key_id").distinct()
+    bit = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2).when(F.col("split") == "dev", 4).otherwise(0)
+    cells = checkpoint(rows.filter("node IS NOT NULL").groupBy("node", "family", "component").agg(F.bit_or(bit).alias("bits")))
+    per_node = cells.groupBy("node").agg(F.count("*").alias("n"), F.min("family").alias("node_family")).join(related_groups(rows), "node", "left").select("node", "n", "node_family", F.coalesce("root", "node").alias("group_id"))
+    per_node = checkpoint(per_node)
+    grouped = checkpoint(salted_join(cells, per_node.drop("n"), "node", hot_keys(per_node, "node", "n"), F.xxhash64("family", "component")))
+    of_group = checkpoint(grouped.groupBy("group_id").agg(F.bit_or("bits").alias("of_group"), F.count("*").alias("n")))
+    torn = of_group.filter(F.bit_count("of_group") > 1)
+    held = salted_join(grouped, torn.select("group_id"), "group_id", hot_keys(of_group, "group_id", "n"), F.xxhash64("node", "family", "component"), "left_semi")
+    key = lambda kind, c: F.struct(F.lit(kind).alias("key_kind"), c.alias("key_id"))
+    keys = F.array(key("family", F.coalesce("family", "node_family")), key("component", F.when(F.length("component") == 24, F.col("component"))))
+    checked = held.filter("bits > 0").select("bits", F.explode(keys).alias("k")).filter("k.key_id IS NOT NULL").groupBy("k").agg(F.bit_or("bits").alias("bits"))
+    return checked.filter(F.bit_count("bits") > 1).select("k.key_kind", "k.key_id")

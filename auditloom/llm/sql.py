@@ -6,7 +6,8 @@ _SPLIT = "CASE WHEN lower(trim(split, chr(9) || chr(10) || ' ')) IN ('train', 't
 _COMPONENT = r"nullif(regexp_extract(lower(trim(near_duplicate_component_id, chr(9) || chr(10) || chr(13) || ' ')), '(?:^|[^0-9a-z])([0-9a-f]{24}|ip[0-9]{9})$', 1), '')"
 _DIGEST = r"CASE WHEN regexp_matches(d, '^sha-?256[-:=][A-Za-z0-9+/]{43}=$', 'i') THEN lower(hex(from_base64(regexp_extract(d, '[-:=]([A-Za-z0-9+/]{43}=)$', 1)))) ELSE nullif(regexp_extract(lower(d), '^(?:sha-?256[-:=])?([0-9a-f]{8,64})(?:…|\\.\\.\\.)?$', 1), '') END"
 
-_ROWS = f"""x AS (SELECT id, family_id, {_SPLIT} AS split, {_COMPONENT} AS c, trim(source_image_sha256, chr(9) || chr(10) || chr(13) || ' ') AS d FROM provenance),
+_ROWS = f"""w AS (SELECT *, nullif(regexp_extract(upper(source_image_id), '(?:^|[^0-9A-Z])(IP[0-9]{{9}})(?:[^0-9]|$)', 1), '') AS image FROM provenance),
+x AS (SELECT id, coalesce(family_id, CASE WHEN image IS NOT NULL THEN max(family_id) OVER (PARTITION BY image) END) AS family_id, {_SPLIT} AS split, {_COMPONENT} AS c, trim(source_image_sha256, chr(9) || chr(10) || chr(13) || ' ') AS d FROM w),
 y AS (SELECT id, family_id, split, c, {_DIGEST} AS d FROM x),
 z AS (SELECT id, family_id, split, c, CASE WHEN NOT starts_with('{EMPTY_SHA256}', d) AND replace(d, d[1], '') <> '' THEN d END AS d FROM y)"""
 

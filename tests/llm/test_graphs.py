@@ -129,6 +129,10 @@ def test_torn_groups(spark):
     c = "e" * 23 + "5"
     rows = [row("1", "train", None, c, "f1", "IP000000001"), row("2", "dev", None, None, "f1", "IP000000001"), row("3", "val", None, f"component/{c.upper()}", "f2", "IP000000002"), row("4", "excluded", None, "IP000000009", "f3", "IP000000003"), row("5", "train", None, "IP000000009", "f3", "IP000000003"), row("6", "dev", None, "IP000000009", None, "IP000000004"), row("7", None, None, None, None, None)]
     assert {tuple(r) for r in families.torn_groups(spark.createDataFrame(rows, PROVENANCE)).collect()} == {("family", "f1"), ("component", c)}
+    late = [row("1", "train", None, None, "F1 ", "IP000000001"), row("2", "dev", None, None, None, "images/IP000000001.jpg"), row("3", "val", None, None, None, "IP000000001"), row("4", "train", None, None, "f2", "IP000000002"), row("5", "excluded", None, None, None, "IP000000002"), row("6", "dev", None, c, None, "IP000000003"), row("7", "train", None, c, None, "IP000000004")]
+    assert {tuple(r) for r in families.torn_groups(spark.createDataFrame(late, PROVENANCE)).collect()} == {("family", "f1"), ("component", c)}
+    hot = [row(f"h{i}", "train" if i % 2 else "dev", None, f"{i:023x}f", f"fam{i // 2}", "IP000000005") for i in range(300)]
+    assert {tuple(r) for r in families.torn_groups(spark.createDataFrame(hot, PROVENANCE)).collect()} == {("family", f"fam{i}") for i in range(150)}
     assert families.torn_groups(spark.createDataFrame([], PROVENANCE)).count() == 0
 
 
