@@ -151,12 +151,12 @@ def matched_keys(rows: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataF
 
 
 def cross_split_overlap(provenance: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """One row per id of val or dev that shows a training image: id, split, source, overlap, train_rows.
+    """One row per id of val or dev that shows a training image: id, split, source, overlap, train_rows, span.
 
     ``overlap`` is ``exact`` where a training row has the same digest (a shortened
     digest equals the one it begins), else ``near`` where one has the same component.
     ``split`` and ``source`` are the least of the id's matched rows, ``train_rows`` the
-    number of training rows of its best match. Null, blank and stand-in keys match
+    number of training rows of its best match and ``span`` the digits it shares with them. Null, blank and stand-in keys match
     nothing; ids that are null and rows without a known split are left out; an empty
     table gives an empty result; further columns are ignored.
     """
@@ -165,8 +165,8 @@ def cross_split_overlap(provenance: DataFrame, keys_per_shard: int = KEYS_PER_SH
     held = rows.filter(F.col("split").isin("val", "dev") & F.col("id").isNotNull()).select("id", "split", "source", F.explode(F.array("digest_key", "component_key")).alias("key")).filter("key IS NOT NULL").distinct()
     hits = salted_join(held, found, "key", hot_keys(found, "key", "n_eval"), F.col("id"))
     near = F.substring("key", 1, 1) == "c"
-    best = hits.groupBy("id").agg(F.min(near).alias("near"), F.min("split").alias("split"), F.min("source").alias("source"), F.min_by("train_rows", F.struct(near, -F.col("train_rows"))).alias("train_rows"))
-    return best.select("id", "split", "source", F.when(F.col("near"), "near").otherwise("exact").alias("overlap"), "train_rows")
+    best = hits.groupBy("id").agg(F.min(near).alias("near"), F.min("split").alias("split"), F.min("source").alias("source"), F.min(F.struct(near, -F.col("train_rows"), -F.col("span"))).alias("best"))
+    return best.select("id", "split", "source", F.when(F.col("near"), "near").otherwise("exact").alias("overlap"), (-F.col("best.col2")).alias("train_rows"), (-F.col("best.col3")).alias("span"))
 
 
 def overlap_report(provenance: DataFrame) -> DataFrame:
