@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, salted_join
 from ..session import checkpoint
 from .ids import plain_id, plain_image
 
 #: The sample is this part of the ids with known class and split.
 SAMPLE_PART = 10
-#: Hash buckets in which the ids of a category are ranked; bounds what one task sorts.
-RANK_BITS = 12
+#: Ids of a category that one task ranks, about; the number of hash buckets follows from it.
+RANKED_IDS = 20_000
 #: Fine buckets of the growing sample, as a power of two.
 BUCKET_BITS = 16
 # Odd factor and offset of the permutation of the fine buckets.
@@ -53,15 +55,25 @@ def _share_out(amount: int, weight: dict, room: dict) -> dict:
     return given
 
 
-def allocate(wanted: dict[tuple, float], least: dict[tuple, int], room: dict[tuple, int], size: int) -> dict[tuple, int]:
-    """Rows to draw per leaf of a category tree, top down.
+class Allocation(NamedTuple):
+    """What the allocation gives one leaf: rows to draw, and the part of its own quota that it had to pass on."""
 
-    A leaf is a path such as (band, class, split). Each leaf first keeps its minimum;
-    the rest of each node's quota is shared among its children by their targets, up
-    to what they hold. So a leaf's unmet quota goes to its siblings, and only what a
-    whole branch cannot take goes to the cousins.
+    drawn: int
+    unmet: float
+
+
+def allocate(quota: dict[tuple, float], least: dict[tuple, int], room: dict[tuple, int], size: int) -> dict[tuple, Allocation]:
+    """Rows to draw per leaf of a category tree, top down, and each leaf's unmet quota.
+
+    A leaf is a path such as (band, class, split); its quota is the larger of its
+    minimum and its target. A leaf takes of its quota what it holds and passes on the
+    rest, its unmet quota: each node shares its amount among its children by their
+    quotas, up to what they hold, so unmet quota goes to the siblings first, and only
+    what a whole branch cannot take goes to the cousins. Minimums are kept before
+    anything is shared.
     """
-    kept = {k: min(least.get(k, 0), room[k]) for k in wanted}
+    kept = {k: min(least.get(k, 0), room[k]) for k in quota}
+    unmet = {k: max(0.0, max(float(least.get(k, 0)), quota[k]) - room[k]) for k in quota}
 
     def down(leaves: list[tuple], depth: int, amount: int) -> dict[tuple, int]:
         if len(leaves) == 1 or depth == len(leaves[0]):
@@ -69,14 +81,14 @@ def allocate(wanted: dict[tuple, float], least: dict[tuple, int], room: dict[tup
         child = defaultdict(list)
         for k in leaves:
             child[k[depth]].append(k)
-        part = _share_out(amount, {c: sum(max(0.0, wanted[k] * size - kept[k]) for k in ks) for c, ks in child.items()}, {c: sum(room[k] - kept[k] for k in ks) for c, ks in child.items()})
+        part = _share_out(amount, {c: sum(max(0.0, quota[k] - kept[k]) for k in ks) for c, ks in child.items()}, {c: sum(room[k] - kept[k] for k in ks) for c, ks in child.items()})
         out = {}
         for c, ks in child.items():
             out |= down(ks, depth + 1, part[c])
         return out
 
-    extra = down(list(wanted), 0, max(0, size - sum(kept.values()))) if wanted else {}
-    return {k: kept[k] + extra[k] for k in wanted}
+    extra = down(list(quota), 0, max(0, size - sum(kept.values()))) if quota else {}
+    return {k: Allocation(kept[k] + extra[k], unmet[k]) for k in quota}
 
 
 def _targets(sample_targets: DataFrame, class_catalog: DataFrame | None) -> DataFrame:
@@ -93,9 +105,10 @@ def category_plan(feature_rows: DataFrame, sample_targets: DataFrame, class_cata
     """One row per category: class_band, class_id, probe_split, available, wanted, drawn, short_by.
 
     ``wanted`` is the larger of min_rows and target_share times a ``part``-th of the
-    distinct ids with known class and split; ``drawn`` is the allocation over the tree
-    band, class, split. ``short_by`` is above 0 where fewer ids are available than
-    wanted. The driver holds the categories only (their number is that of the targets).
+    distinct ids with known class and split; ``drawn`` and ``short_by`` come from the
+    allocation over the tree band, class, split: the rows it draws, and the part of
+    ``wanted`` that the category had to pass on to others because it holds fewer ids.
+    The driver holds the categories only (their number is that of the targets).
     """
     counts = labelled_ids(feature_rows).groupBy("class_id", "probe_split").agg(F.count("*").alias("available"))
     return _plan(counts, _targets(sample_targets, class_catalog), part)
@@ -106,11 +119,9 @@ def _plan(counts: DataFrame, targets: DataFrame, part: int) -> DataFrame:
     rows = targets.join(counts, ["class_id", "probe_split"], "left").collect()
     path = lambda r: (r["class_band"] or "", r["class_id"], r["probe_split"])
     room = {path(r): r["available"] or 0 for r in rows}
-    drawn = allocate({path(r): r["target_share"] for r in rows}, {path(r): r["min_rows"] for r in rows}, room, total // part)
-    out = []
-    for r in rows:
-        wanted = max(float(r["min_rows"]), r["target_share"] * total / part)
-        out.append((r["class_band"], r["class_id"], r["probe_split"], room[path(r)], wanted, drawn[path(r)], max(0.0, wanted - room[path(r)])))
+    wanted = {path(r): max(float(r["min_rows"]), r["target_share"] * total / part) for r in rows}
+    given = allocate(wanted, {path(r): r["min_rows"] for r in rows}, room, total // part)
+    out = [(r["class_band"], r["class_id"], r["probe_split"], room[k], wanted[k], *given[k]) for r in rows for k in (path(r),)]
     return counts.sparkSession.createDataFrame(out, "class_band string, class_id int, probe_split string, available long, wanted double, drawn long, short_by double")
 
 
@@ -130,12 +141,15 @@ def draw_sample(feature_rows: DataFrame, sample_targets: DataFrame, class_catalo
     """(id, class_id, probe_split, class_band, draw_rank): in each category the ``drawn`` ids of least permuted rank.
 
     The rank is dense over the ids' hashes with ``seed``, ties by id, so the same ids
-    are drawn in every run and layout. It is found from the counts of hash buckets:
-    no task sorts more than one bucket of a category, however large that is.
+    are drawn in every run and layout. It is found from the counts of hash buckets of
+    about RANKED_IDS ids: no task sorts more of a category, however large that is.
     """
     ids = checkpoint(labelled_ids(feature_rows))
-    plan = F.broadcast(_plan(ids.groupBy("class_id", "probe_split").agg(F.count("*").alias("available")), _targets(sample_targets, class_catalog), part).select("class_id", "probe_split", "class_band", "drawn"))
-    hashed = ids.join(plan, ["class_id", "probe_split"]).withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - RANK_BITS))
+    counts = ids.groupBy("class_id", "probe_split").agg(F.count("*").alias("available"))
+    most = counts.agg(F.max("available")).first()[0] or 0
+    bits = max(1, (most // RANKED_IDS).bit_length())
+    plan = F.broadcast(_plan(counts, _targets(sample_targets, class_catalog), part).select("class_id", "probe_split", "class_band", "drawn"))
+    hashed = ids.join(plan, ["class_id", "probe_split"]).withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).bitwiseXOR(F.lit(1 << bits - 1)))
     leaf = ["class_id", "probe_split"]
     sizes = hashed.groupBy(*leaf, "bucket").agg(F.count("*").alias("n"))
     over = F.expr("sum(n) over (partition by class_id, probe_split order by bucket rows between unbounded preceding and 1 preceding)")
@@ -145,8 +159,8 @@ def draw_sample(feature_rows: DataFrame, sample_targets: DataFrame, class_catalo
 
 
 def short_categories(feature_rows: DataFrame, sample_targets: DataFrame, part: int = SAMPLE_PART) -> DataFrame:
-    """(class_id, probe_split) of the categories that hold fewer ids than wanted."""
-    return category_plan(feature_rows, sample_targets, None, part).filter("available < wanted").select("class_id", "probe_split")
+    """(class_id, probe_split) of the categories whose quota the allocation could not meet from their own ids."""
+    return category_plan(feature_rows, sample_targets, None, part).filter("short_by > 0").select("class_id", "probe_split")
 
 
 def bucket_position(key: Column, bits: int = BUCKET_BITS) -> Column:
@@ -162,31 +176,83 @@ def bucket_position(key: Column, bits: int = BUCKET_BITS) -> Column:
     return F.pmod(b * PERMUTE_FACTOR + PERMUTE_OFFSET, F.lit(size)).cast("int")
 
 
-def family_keys(feature_rows: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(id, family_key, first_batch) per distinct id.
+def _dated(df: DataFrame, column: str) -> Column:
+    """When a row came: its time, the end of time where it has none, the beginning where the table has no such column."""
+    return F.coalesce(F.col(column).cast("timestamp"), F.lit("9999-12-31").cast("timestamp")) if column in df.columns else F.lit("0001-01-01").cast("timestamp")
 
-    The key is the family that provenance gives to the id, else the family of the
-    id's source image, else the row's own family, image or id. Own values are those of
-    the id's earliest batch, even where it lacks them: a family that comes later moves
-    no id. All ids of a family known by provenance have one key, whatever batch they came in.
-    """
-    first = lambda c: F.min(F.struct(F.coalesce("batch_no", F.lit(2**31 - 1)).alias("b"), F.isnull(c).alias("lacks"), F.col(c).alias("v")))["v"]
-    own = feature_rows.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("own_family"), plain_image(F.col("source_image_id")).alias("own_image"), "batch_no").filter("id IS NOT NULL").groupBy("id").agg(first("own_family").alias("own_family"), first("own_image").alias("own_image"), F.min("batch_no").alias("first_batch"))
-    rows = provenance.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("family"), plain_image(F.col("source_image_id")).alias("image"))
-    by_id = rows.groupBy("id").agg(F.min("family").alias("family"), F.min("image").alias("image"))
-    by_image = rows.filter("image IS NOT NULL AND family IS NOT NULL").groupBy("image").agg(F.min("family").alias("image_family"))
-    found = own.join(by_id, "id", "left").withColumn("image", F.coalesce("image", "own_image")).join(by_image, "image", "left")
-    return found.select("id", F.coalesce("family", "image_family", "own_family", "image", "id").alias("family_key"), "first_batch")
 
+def first_sights(feature_rows: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(id, family, image, first_batch) per distinct id: what was known of it when it came first.
 
-def stable_sample(feature_rows: DataFrame, provenance: DataFrame, rate: float = 0.1, bits: int = BUCKET_BITS) -> DataFrame:
+    An id is first seen in its least ``batch_no`` (null counts as the last), at the
+    least ``extracted_at`` of its rows there. Provenance rows count if they had come by
+    then (``ingested_at``), the earliest that tell something first: the id's own
+    family, else the family of its image. Where neither is known the family is that
+    of the id's rows in its first batch. Rows of later deliveries, whatever they tell,
+    change nothing. Undated provenance rows count for nothing, and nothing of
+    provenance for ids without ``extracted_at``; a table without these columns is
+    taken as known from the start. Null ids are left out.
+    """
+    batch, seen = F.coalesce("batch_no", F.lit(2**31 - 1)), F.coalesce(F.col("extracted_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")) if "extracted_at" in feature_rows.columns else F.lit("9999-12-31").cast("timestamp")
+    first = lambda c: F.min(F.struct("b", F.isnull(c).alias("lacks"), F.col(c).alias("v")))["v"]
+    own = feature_rows.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("own_family"), plain_image(F.col("source_image_id")).alias("own_image"), batch.alias("b"), seen.alias("t"), "batch_no").filter("id IS NOT NULL").groupBy("id").agg(first("own_family").alias("own_family"), first("own_image").alias("own_image"), F.min("batch_no").alias("first_batch"), F.min(F.struct("b", "t"))["t"].alias("t"))
+    rows = provenance.select(plain_id(F.col("id")).alias("id"), plain_id(F.col("family_id")).alias("family"), plain_image(F.col("source_image_id")).alias("image"), _dated(provenance, "ingested_at").alias("g"))
+    told = lambda c, name: F.min(F.when(F.col(c).isNotNull(), F.struct("g", F.col(c).alias("v")))).alias(name)
+    by_id = rows.filter("id IS NOT NULL").groupBy("id").agg(told("family", "f"), told("image", "i"))
+    by_image = checkpoint(rows.filter("image IS NOT NULL").groupBy("image").agg(told("family", "m"), F.count("*").alias("n")).filter("m IS NOT NULL"))
+    known = lambda c: F.when(F.col(f"{c}.g") <= F.col("t"), F.col(f"{c}.v"))
+    with_id = own.join(by_id, "id", "left").select("id", "t", "first_batch", "own_family", known("f").alias("family"), F.coalesce("own_image", known("i")).alias("image"))
+    found = salted_join(with_id, by_image.select("image", "m"), "image", hot_keys(by_image, "image", "n", provenance.count()), F.col("id"), "left")
+    return found.select("id", F.coalesce("family", known("m"), "own_family").alias("family"), "image", "first_batch")
+
+
+def family_keys(feature_rows: DataFrame, provenance: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """(id, family, image, family_key, first_batch) per distinct id: the ledger of keys, which is only appended to.
+
+    An id's key is that of its family, else its image, else the id, as known at its
+    first sight (``first_sights``). A family's key is its name and an image's its id,
+    but the one seen later takes on the key of the one seen before, so that both stay
+    together. Nothing that arrives later changes a key that was given. ``ledger`` is the result of an earlier call, written by the caller: its
+    rows come out unchanged, whatever the tables say now, and new ids take on the
+    keys it holds for their family or image. Without it the keys of all deliveries are
+    found anew, and are the same as long as the arrival times are true.
+    """
+    new, last = first_sights(feature_rows, provenance), 2**31 - 1
+    earliest = lambda c: ledger.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(F.struct(F.coalesce("first_batch", F.lit(last)), "family_key"))["family_key"].alias(f"{c}_given"))
+    if ledger is not None:
+        new = new.join(ledger.select("id"), "id", "left_anti")
+    new = checkpoint(new.withColumn("b", F.coalesce("first_batch", F.lit(last))))
+    ids = new.count()
+    alone = new.filter("family IS NULL AND image IS NOT NULL").groupBy("image").agg(F.min("b").alias("used"), F.count("*").alias("n"))
+    families = new.filter("family IS NOT NULL").groupBy("family").agg(F.min(F.struct("b", F.isnull("image"), "image")).alias("first"), F.count("*").alias("n")).select("family", "n", F.col("first.b").alias("b"), F.col("first.image").alias("image"))
+    families, images = families.join(alone.select("image", "used"), "image", "left"), alone
+    if ledger is not None:
+        given = earliest("image")
+        families, images = families.join(earliest("family"), "family", "left").join(given, "image", "left"), images.join(given, "image", "left")
+    else:
+        nothing = F.lit(None).cast("string")
+        families, images = families.withColumns({"family_given": nothing, "image_given": nothing}), images.withColumn("image_given", nothing)
+    # an image that was a key before a family of it was seen hands its key on, and the other way round
+    families = checkpoint(families.withColumn("family_key", F.coalesce("family_given", "image_given", F.when(F.col("used") < F.col("b"), F.col("image")), "family")))
+    of_image = families.filter("image IS NOT NULL").groupBy("image").agg(F.min(F.struct("b", "family", "family_key")).alias("f"))
+    images = checkpoint(images.join(of_image, "image", "left").select(F.col("image").alias("alone"), "n", F.coalesce("image_given", F.when(F.col("f.b") <= F.col("used"), F.col("f.family_key")), "image").alias("image_key")))
+    keyed = salted_join(new, families.select("family", "family_key"), "family", hot_keys(families, "family", "n", ids), F.col("id"), "left").withColumn("alone", F.when(F.col("family").isNull(), F.col("image")))
+    keyed = salted_join(keyed, images.select("alone", "image_key"), "alone", hot_keys(images, "alone", "n", ids), F.col("id"), "left")
+    out = keyed.select("id", "family", "image", F.coalesce("family_key", "image_key", "id").alias("family_key"), "first_batch")
+    return out if ledger is None else ledger.select(*out.columns).unionByName(out)
+
+
+def stable_sample(feature_rows: DataFrame, provenance: DataFrame, rate: float = 0.1, bits: int = BUCKET_BITS, ledger: DataFrame | None = None) -> DataFrame:
     """(id, family_key, position, first_batch) of the ids whose fine bucket is in the list of the first ``rate`` of the permutation.
 
-    A key stays in its bucket for ever and the list only grows with ``rate``, so the
-    sample is the same in every run and layout, keeps its members when rows arrive,
-    and a smaller rate gives a part of a larger one. Families come whole.
+    A key is given once (see ``family_keys``; pass the written ``ledger`` of the last
+    run to hold to it even where arrival times are missing or wrong), stays in its
+    bucket for ever, and the list of buckets only grows with ``rate``. So the sample is
+    the same in every run and layout and keeps its members when rows arrive, and a
+    smaller rate gives a part of a larger one. Ids whose family was known at first
+    sight come with the whole family. An empty table gives no rows.
     """
-    keyed = family_keys(feature_rows, provenance).withColumn("position", bucket_position(F.col("family_key"), bits))
+    keyed = family_keys(feature_rows, provenance, ledger).withColumn("position", bucket_position(F.col("family_key"), bits))
     return keyed.filter(F.col("position") < int(round(rate * 2**bits))).select("id", "family_key", "position", "first_batch")
 
 

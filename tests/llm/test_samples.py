@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -21,15 +22,18 @@ TARGETS = [(1, "head", "probe_train", 0.1, 2), (1, "head", "probe_val", 0.2, 2),
 
 
 def test_allocation_passes_quota_to_siblings_then_cousins():
-    wanted = {("t", 1, "a"): 0.5, ("t", 1, "b"): 0.1, ("t", 2, "a"): 0.2, ("h", 3, "a"): 0.2}
+    quota = {("t", 1, "a"): 50.0, ("t", 1, "b"): 10.0, ("t", 2, "a"): 20.0, ("h", 3, "a"): 20.0}
     room = {("t", 1, "a"): 10, ("t", 1, "b"): 100, ("t", 2, "a"): 100, ("h", 3, "a"): 100}
-    got = sampling.allocate(wanted, {}, room, 100)
-    assert got == {("t", 1, "a"): 10, ("t", 1, "b"): 50, ("t", 2, "a"): 20, ("h", 3, "a"): 20}
+    drawn = lambda given: {k: a.drawn for k, a in given.items()}
+    got = sampling.allocate(quota, {}, room, 100)
+    assert drawn(got) == {("t", 1, "a"): 10, ("t", 1, "b"): 50, ("t", 2, "a"): 20, ("h", 3, "a"): 20}
+    assert [a.unmet for a in got.values()] == [40.0, 0.0, 0.0, 0.0]
     room[("t", 1, "b")] = 5
-    got = sampling.allocate(wanted, {}, room, 100)
-    assert got == {("t", 1, "a"): 10, ("t", 1, "b"): 5, ("t", 2, "a"): 65, ("h", 3, "a"): 20}
-    small = sampling.allocate(wanted, {("h", 3, "a"): 30}, room, 40)
-    assert small[("h", 3, "a")] >= 30 and sum(small.values()) == 40
+    got = sampling.allocate(quota, {}, room, 100)
+    assert drawn(got) == {("t", 1, "a"): 10, ("t", 1, "b"): 5, ("t", 2, "a"): 65, ("h", 3, "a"): 20}
+    assert [a.unmet for a in got.values()] == [40.0, 5.0, 0.0, 0.0]
+    small = sampling.allocate({k: v * 0.4 for k, v in quota.items()}, {("h", 3, "a"): 30, ("t", 1, "b"): 9}, room, 40)
+    assert small[("h", 3, "a")].drawn >= 30 and sum(drawn(small).values()) == 40 and small[("t", 1, "b")].unmet == 4.0
     assert sampling.allocate({}, {}, {}, 10) == {}
 
 
@@ -58,14 +62,14 @@ def test_stable_sample_keeps_its_members(spark):
     p = f.filter("id LIKE 'id%'").select("id", "family_id", "source_image_id")
     whole = {r["id"]: r["family_key"] for r in sampling.stable_sample(f, p, 0.3).collect()}
     assert 0.15 < len(whole) / 903 < 0.45
+    keys = sampling.family_keys(f, p).collect()
     for b in (2, 5):
         part = {r["id"] for r in sampling.stable_sample(f.filter(F.col("batch_no") <= b), p, 0.3).collect()}
-        held = {r["id"] for r in sampling.family_keys(f, p).filter(F.col("first_batch") <= b).collect()}
-        assert part - {"late"} == (set(whole) & held) - {"late"}
+        assert part == set(whole) & {r["id"] for r in keys if r["first_batch"] and r["first_batch"] <= b}
     less = {r["id"] for r in sampling.stable_sample(f.repartition(5), p, 0.1).collect()}
     assert less <= set(whole)
     members = {}
-    for r in sampling.family_keys(f, p).collect():
+    for r in keys:
         members.setdefault(r["family_key"], set()).add(r["id"])
     assert all(ids <= set(whole) or not ids & set(whole) for ids in members.values())
     positions = spark.range(40_000).select(sampling.bucket_position(F.col("id"), 8).alias("p")).groupBy("p").count()
@@ -74,6 +78,59 @@ def test_stable_sample_keeps_its_members(spark):
     assert {r["first_batch"] for r in sampling.growth_report(f, p).collect()} >= set(range(1, 9))
 
 
+DELIVERED = "id string, family_id string, source_image_id string, batch_no int, extracted_at timestamp, family string"
+KNOWN = "id string, family_id string, source_image_id string, ingested_at timestamp, image string"
+
+
+def deliveries(rng):
+    """Feature rows and provenance rows of 8 batches: families, images and provenance come late, change, or come again."""
+    day = lambda b, s=0: dt.datetime(2025, b, 1, 0, 0, s)
+    feats, known = [], []
+    for i in range(600):
+        fam, image, b = f"f{i // 3}", f"IP{i // 3 % 150:09d}" if i % 4 else "IP000000777", rng.randint(1, 8)
+        feats.append((f"id{i}", fam if rng.random() < 0.4 else None, image if rng.random() < 0.7 else None, b, day(b, 30), "x"))
+        for _ in range(rng.choice((0, 1, 1, 2))):  # repeated, with another family or image
+            late = rng.randint(b, 8)
+            feats.append((f" ID{i}", rng.choice([fam, "other", None]), rng.choice([image, "IP000000999"]), late, day(late, 30), "x"))
+        if rng.random() < 0.8:
+            g = rng.randint(1, 8)
+            known.append((f"id{i}", rng.choice([fam, None]), image, day(g, rng.choice((10, 40))), "y"))
+            known.append((f"id{i}", fam, image, day(rng.randint(g, 8), 50), "y"))
+    feats += [("late", None, None, None, None, "x"), ("late", "f1", None, 2, day(2), "x")]
+    return feats, known, day
+
+
+def test_members_stay_whatever_comes_late(spark):
+    feats, known, day = deliveries(random.Random(1))
+    before, ledger, undated = {}, None, {}
+    for b in (1, 3, 8):
+        f = spark.createDataFrame([r for r in feats if (r[3] or 8) <= b], DELIVERED)
+        p = spark.createDataFrame([r for r in known if r[3] < day(b, 45)], KNOWN)
+        now = {r["id"]: r["family_key"] for r in sampling.family_keys(f, p).collect()}
+        assert now.items() >= before.items() and len(now) == len({r[0].strip().lower() for r in feats if (r[3] or 8) <= b})
+        assert {r["id"] for r in sampling.stable_sample(f, p, 0.2).collect()} >= {r["id"] for r in sampling.stable_sample(f.filter(F.col("batch_no") <= 1), p, 0.2).collect()}
+        before = now
+        # without any arrival times the ledger of the last run alone holds the keys
+        bare = sampling.family_keys(f.drop("extracted_at"), p.drop("ingested_at"), ledger)
+        kept = bare.collect()
+        ledger = spark.createDataFrame(kept, bare.schema)
+        assert len(kept) == len(now) and {r["id"]: r["family_key"] for r in kept}.items() >= undated.items()
+        undated = {r["id"]: r["family_key"] for r in kept}
+
+
+def test_later_name_takes_on_the_key_seen_before(spark):
+    rows = [("a", None, "IP000000001", 1), ("b", "f1", "IP000000001", 2), ("c", "f1", None, 3), ("d", "f2", "IP000000002", 1), ("e", None, "IP000000002", 2), ("g", None, None, 1)]
+    provenance = spark.createDataFrame([], "id string, family_id string, source_image_id string")
+    make = lambda r: spark.createDataFrame(r, "id string, family_id string, source_image_id string, batch_no int")
+    want = {"a": "IP000000001", "b": "IP000000001", "c": "IP000000001", "d": "f2", "e": "f2", "g": "g"}
+    assert {r["id"]: r["family_key"] for r in sampling.family_keys(make(rows), provenance).collect()} == want
+    ledger = None
+    for b in (1, 2, 3):
+        out = sampling.family_keys(make([r for r in rows if r[3] <= b]), provenance, ledger)
+        ledger = spark.createDataFrame(out.collect(), out.schema)
+    assert {r["id"]: r["family_key"] for r in ledger.collect()} == want
+
+
 def test_late_family_moves_no_id(spark):
     rows = [("a", None, "IP000000001", 1), ("b", "f2", None, 1), ("c", None, None, 2), ("d", None, None, 3), ("d", "f4", None, 3)]
     late = [("a", "f1", "IP000000000", 2), ("b", "f0", None, 3), ("c", "f3", "IP000000002", 4)]
@@ -83,6 +140,15 @@ def test_late_family_moves_no_id(spark):
     assert keys(rows + late) == before and before["d"] == "f4"
 
 
+def test_ranks_are_dense_whatever_the_buckets(spark, monkeypatch):
+    f = spark.createDataFrame([(f"a{i}", 1, "probe_train", 1) for i in range(500)], "id string, class_id int, probe_split string, batch_no int")
+    targets = spark.createDataFrame([(1, "head", "probe_train", 1.0, 0)], "class_id int, class_band string, probe_split string, target_share double, min_rows int")
+    draw = lambda: {r["draw_rank"]: r["id"] for r in sampling.draw_sample(f, targets, part=2).collect()}
+    whole = draw()
+    monkeypatch.setattr(sampling, "RANKED_IDS", 3)
+    assert draw() == whole and set(whole) == set(range(1, 251))
+
+
 def test_report_tells_what_is_not_drawn(spark):
     rows = [(f"a{i}", 1, "probe_train", 1) for i in range(30)] + [(f"b{i}", 2, "probe_train", 1) for i in range(30)]
     f = spark.createDataFrame(rows, "id string, class_id int, probe_split string, batch_no int")
