@@ -2,7 +2,7 @@
 
 A stack automaton reads each text: brackets, quoted strings with escapes, code
 fences and tags. What it cannot decide alone (a last sentence without a full stop,
-a value that ends inside a word) is held against baselines of the whole table: how
+an open tag, a value that ends inside a word) is held against baselines of the whole table: how
 often texts of the same source that open alike end with a terminator, and which words
 and values the same field holds elsewhere.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,15 +23,21 @@ from ..session import checkpoint
 
 PAD = " \t\r\n\f\v\x00 ­​‌‍⁠　﻿"
 _EOS = re.compile(r"(?:</s>|<\|[a-z_]+\|>|<eos>|<end_of_turn>)$")
-_WEAK_MARK = re.compile(r"(?:…|\.{3,}|\[\s*(?:…|\.{3,})\s*\])$")
-_STRONG_MARK = re.compile(r"(?:…|\.{3,})?\s*(?:\[\s*\+\s*\d+[^\]]{0,20}\]|[<\[(]\s*(?:cut|truncated|cut off|snip|max_tokens|length)[^>\])]{0,20}[>\])])$", re.I)
+# What marks of a missing rest say between their brackets.
+_STRONG_MARK = re.compile(r"\s*(?:\+\s*\d+\b.*|(?:cut|snip|length)\s*(?:[:=].*)?|(?:max[_ ]?tokens|token limit)\b.*|(?:(?:text|output|answer|response|message)\s+)?(?:truncated|cut off|cut short|snipped|clipped)\s*(?:(?:[:;,.=–-]|\d|at|after|by|because|due to|here)\b.*|[:;,.=–-].*)?|(?:finish|stop)[_ ]reason\s*[:=]\s*\W?length\W?)\s*", re.I | re.S)
 _TOKEN = re.compile(r"```|\\.|[\"'{}\[\]]|</?[A-Za-z][\w-]*>", re.S)
+_NEXT = re.compile(r"\s*(```|.)?", re.S)
+_KEY_AHEAD = re.compile(r"\s*(?:[\"'{}\[\]]|[\w-]+\s*[:=]|$)")
+_ITEM_AHEAD = re.compile(r"\s*(?:[\"'{\[]|$)")
+_HALF_OPEN = re.compile(r"\[\s*[^\s,\[\](){}\"']+\s*,\s*[^\s,\[\](){}\"']+\s*\)")
 _TERMINATORS = frozenset(".!?:。！？：؟।")
 _CLOSERS = "\"'”’»」』)]}）*_`"
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _AFTER_STRING = frozenset(",:]}")
 _BEFORE_STRING = frozenset("{[,:")
+_BEFORE_STRUCTURE = frozenset(":={([,>`\n")
 
 #: An unfinished sentence is a cut if at least this share of the texts that open alike end with a terminator.
 ENDED_SHARE = 0.3
@@ -42,8 +49,26 @@ POOLED = "*"
 LONGER_RATIO = 5
 #: Fields under which first words are counted: of all running texts, and of those that are one word.
 FIRST, ALONE = "^", "^1"
-#: Longest value that is compared as a whole; longer ones are prose, judged by their end.
-VALUE_CHARS = 64
+#: Up to this length every beginning of a value is counted; longer beginnings at the lengths of values only.
+HEAD_CHARS = 64
+
+
+def _without_mark(text: str) -> str | None:
+    """The text before a bracketed mark at its end that says something is missing, or None."""
+    at = max(text.rfind("["), text.rfind("<"), text.rfind("("))
+    return text[:at] if at >= 0 and _STRONG_MARK.fullmatch(text, at + 1, len(text) - 1) else None
+
+
+def _without_dots(text: str) -> str | None:
+    """The text before marks of omission at its end (dots, also in brackets), or None."""
+    if text.endswith("…"):
+        return text[:-1]
+    bare = text.rstrip(".")
+    if len(text) - len(bare) >= 3:
+        return bare
+    at = text.rfind("[") if text.endswith("]") else -1
+    inner = text[at + 1 : -1].strip() if at >= 0 else ""
+    return text[:at] if inner and not inner.strip("….") and ("…" in inner or len(inner) >= 3) else None
 
 
 def strip_end(text: str) -> tuple[str, bool, bool]:
@@ -51,12 +76,13 @@ def strip_end(text: str) -> tuple[str, bool, bool]:
     strong = weak = False
     while True:
         text = text.rstrip(PAD)
-        if m := _EOS.search(text):
+        last = text[-1:]
+        if last == ">" and (m := _EOS.search(text)):
             text = text[: m.start()]
-        elif m := _STRONG_MARK.search(text):
-            text, strong = text[: m.start()], True
-        elif m := _WEAK_MARK.search(text):
-            text, weak = text[: m.start()], True
+        elif last in (">", "]", ")") and (before := _without_mark(text)) is not None:
+            text, strong = before, True
+        elif last in (".", "…", "]") and (before := _without_dots(text)) is not None:
+            text, weak = before, True
         else:
             return text, strong, weak
 
@@ -65,8 +91,8 @@ def _opening(text: str) -> tuple[str, str]:
     """(key of the first word, key used for the text): two words where the text has at least three."""
     if _CJK.match(text):
         return text[:2], text[:4]
-    words = _SPACE.split(re.sub(r"\d+", "0", text.lower()), 3)
-    return words[0], " ".join(words[:2]) if len(words) > 2 else words[0]
+    words = [_DIGITS.sub("0", w.lower()) for w in text.split(None, 3)[:3]]
+    return (words[0], " ".join(words[:2]) if len(words) > 2 else words[0]) if words else ("", "")
 
 
 def _sentence_ended(text: str) -> bool:
@@ -74,25 +100,86 @@ def _sentence_ended(text: str) -> bool:
     return bool(core) and core[-1] in _TERMINATORS
 
 
-def structure(text: str) -> tuple[bool, int, list[tuple[str, str]]]:
-    """Runs the stack automaton: (something is left open, end of the last structure, string values by field)."""
-    stack: list[str] = []
+class _Members(list):
+    """The members of an object, repeats and order kept."""
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Members, strict=False)
+
+
+def _parsed(text: str) -> list[tuple[str, str]] | None:
+    """The string values by field of a text that is one sound JSON value; None for any other."""
+    if text[:1] not in ("{", "[") or text[-1:] not in ("}", "]"):
+        return None
+    try:
+        todo = [("", _DECODER.decode(text))]
+    except (ValueError, RecursionError):
+        return None
+    values = []
+    while todo:
+        field, x = todo.pop()
+        if isinstance(x, str):
+            values.append((field, x))
+        elif isinstance(x, _Members):
+            todo.extend(reversed(x))
+        elif isinstance(x, list):
+            todo.extend((field, y) for y in reversed(x))
+    return values
+
+
+def _last_sign(text: str, end: int) -> str:
+    """The last sign before ``end`` that is no blank (a line break counts as a sign); empty at the beginning."""
+    while end and text[end - 1] in " \t\r":
+        end -= 1
+    return text[end - 1] if end else ""
+
+
+def _opens(text: str, at: int) -> bool:
+    """A bracket in running text opens a structure: it stands where one begins, or keys or values follow."""
+    if text[at] == "[" and _HALF_OPEN.match(text, at):
+        return False
+    before = _last_sign(text, at)
+    return not before or before in _BEFORE_STRUCTURE or (_KEY_AHEAD if text[at] == "{" else _ITEM_AHEAD).match(text, at + 1) is not None
+
+
+class Structure(NamedTuple):
+    """What the stack automaton finds in a text."""
+
+    left_open: bool
+    end: int  # of the last structure that was closed
+    values: list[tuple[str, str]]  # string values by field
+    tags: list[tuple[str, bool]]  # markup tags by name, and whether they were closed
+
+
+def structure(text: str) -> Structure:
+    """Runs the stack automaton over the whole text.
+
+    Left open may be a bracket, a string, an escape or a code fence. Brackets of
+    running text (half-open intervals, placeholders) open nothing. Tags are reported
+    with their fate, since some are never closed: it takes the baseline of the source
+    to tell. A text that is one sound JSON value needs no automaton.
+    """
+    whole = _parsed(text.strip())
+    if whole is not None:
+        return Structure(False, len(text), whole, [])
+    stack: list[str] = []  # the field in which each open bracket stands
     tags: list[str] = []
+    closed: set[str] = set()
     values: list[tuple[str, str]] = []
     quote, start, end, fence, field = "", 0, 0, False, ""
     for m in _TOKEN.finditer(text):
         t = m.group()
         if quote:
             if t == quote:
-                rest = text[m.end() : m.end() + 64].lstrip()
-                if not rest or rest[0] in _AFTER_STRING or rest.startswith("```"):
+                after = _NEXT.match(text, m.end()).group(1)
+                if not after or after in _AFTER_STRING or after == "```":
                     body = text[start : m.start()]
                     if "\\" in body:
                         try:
                             body = json.loads(f'"{body}"')
                         except ValueError:
                             pass
-                    if rest[:1] == ":":
+                    if after == ":":
                         field = body
                     else:
                         values.append((field, body))
@@ -100,16 +187,17 @@ def structure(text: str) -> tuple[bool, int, list[tuple[str, str]]]:
         elif t[0] == "\\":
             continue
         elif stack:
-            if t == '"' or t == "'" and text[: m.start()].rstrip()[-1:] in _BEFORE_STRING:
+            if t == '"' or t == "'" and _last_sign(text, m.start()) in (*_BEFORE_STRING, "\n"):
                 quote, start = t, m.end()
             elif t in "{[":
-                stack.append(t)
+                stack.append(field)
             elif t in "}]":
-                stack.pop()
+                field = stack.pop()
                 if not stack:
                     end = m.end()
         elif t in "{[":
-            stack.append(t)
+            if _opens(text, m.start()):
+                stack.append(field)
         elif t == "```":
             fence, end = not fence, m.end()
         elif t[0] == "<":
@@ -117,22 +205,27 @@ def structure(text: str) -> tuple[bool, int, list[tuple[str, str]]]:
             if t[1] != "/":
                 tags.append(name)
             elif name in tags:
-                del tags[tags.index(name) :]
                 end = m.end()
-    return bool(stack or quote or fence or tags), end, values
+                closed.add(name)
+    return Structure(bool(stack or quote or fence), end, values, [(n, n in closed) for n in dict.fromkeys(tags)])
 
 
 def scan(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """(cut for certain, prose as (first-word key, opening key, ended), short values as (field, value))."""
+    """(cut for certain, what should end as (first-word key, opening key, ended), values as (field, value)).
+
+    What should end are the running text, each text value inside, and each tag (under
+    its name as key).
+    """
     core, strong, weak = strip_end(text)
     if not core:
         return False, [], []
     if strong or core[-1] == "�":
         return True, [], []
-    left_open, end, values = structure(core)
-    if left_open:
+    found = structure(core)
+    if found.left_open:
         return True, [], []
-    prose, short = [], []
+    prose, short = [(f"<{name}", f"<{name}", closed) for name, closed in found.tags], []
+    end = found.end
     tail = core[end:].strip(PAD)
     if end and core[end:].strip(PAD + "`") == "":
         tail = ""
@@ -143,17 +236,16 @@ def scan(text: str) -> tuple[bool, list[tuple[str, str, bool]], list[tuple[str,
         short.append((FIRST, word))
         if end == 0 and not _SPACE.search(tail):
             short.append((ALONE, word))
-    for field, value in values:
+    for field, value in found.values:
         inner, inner_strong, _ = strip_end(value)
         if inner_strong or inner[-1:] == "�":
             return True, [], []
         if not inner:
             continue
-        if " " in inner or (_CJK.match(inner) and len(inner) > 8):
+        if " " in inner or _CJK.match(inner):
             first, key = _opening(inner)
             prose.append((first, key, _sentence_ended(inner)))
-        if len(inner) <= VALUE_CHARS:
-            short.append((field, inner))
+        short.append((field, inner))
     return False, prose, [x for x in short if x[1]]
 
 
@@ -176,8 +268,23 @@ def source_key() -> F.Column:
 
 
 def _prefixes(name: str) -> F.Column:
-    """All proper prefixes of a short string column."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda k: F.substring(F.col(name), F.lit(1), k))
+    """The proper prefixes of a string column, up to HEAD_CHARS."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(name) - 1, F.lit(HEAD_CHARS)), F.lit(1))), lambda k: F.substring(F.col(name), F.lit(1), k))
+
+
+def _long_beginnings(vals: DataFrame) -> DataFrame:
+    """(field, value) of the values over HEAD_CHARS that begin values LONGER_RATIO times as frequent.
+
+    Beginnings are compared by digest, at the lengths that values of the same field
+    and head have; values of a head that many share are spread over tasks.
+    """
+    long = checkpoint(vals.filter(F.length("value") > HEAD_CHARS).select(F.struct("field", F.substring("value", 1, HEAD_CHARS).alias("head")).alias("k"), "value", "n", F.length("value").alias("size")))
+    lengths = long.groupBy("k").agg(F.collect_set("size").alias("sizes"), F.count("*").alias("rows")).filter(F.size("sizes") > 1)
+    lengths = checkpoint(lengths)
+    met = salted_join(long, lengths.select("k", "sizes"), "k", hot_keys(lengths, "k", "rows"), F.col("value"))
+    digest = lambda size: F.sha2(F.substring("value", F.lit(1), size).cast("binary"), 256)
+    longer = met.filter("n >= 3").select("k", "value", "n", F.explode(F.filter("sizes", lambda x: x < F.col("size"))).alias("at")).select("k.field", digest(F.col("at")).alias("d"), "n").groupBy("field", "d").agg(F.sum("n").alias("longer"))
+    return met.select("k.field", "value", "n", digest(F.col("size")).alias("d")).join(longer, ["field", "d"]).filter(F.col("longer") >= LONGER_RATIO * F.col("n")).select("field", "value")
 
 
 def _cut_values(vals: DataFrame) -> DataFrame:
@@ -193,19 +300,20 @@ def _cut_values(vals: DataFrame) -> DataFrame:
     words = vals.filter(~F.col("field").isin(FIRST, ALONE)).select("field", F.explode(F.array_distinct(F.split("value", " "))).alias("word"), "n").filter("word <> ''").groupBy("field", "word").agg(F.sum("n").alias("n"))
     broken = words.join(longer(words, "word"), ["field", "word"]).filter(F.col("longer") >= LONGER_RATIO * F.col("n")).select("field", "word")
     last = vals.filter(F.col("value").contains(" ") & ~F.col("field").isin(FIRST, ALONE)).select("field", "value", F.substring_index("value", " ", -1).alias("word"))
-    return whole.union(last.join(broken, ["field", "word"], "left_semi").select("field", "value")).distinct()
+    return whole.union(last.join(broken, ["field", "word"], "left_semi").select("field", "value")).union(_long_beginnings(vals)).distinct()
 
 
 def cut_texts(answers: DataFrame) -> DataFrame:
     """(text_id, source, n) of each distinct raw_text that was cut off, per source_key; n is the number of the source's rows that bear it.
 
     Padding, end-of-sequence tokens and marks of omission at the end are taken off
-    first. Cut are: an open bracket, string, escape, fence or tag; half a character
-    (the replacement sign) or a mark with the missing length at the end; a last
-    sentence without terminator whose opening usually ends with one in that source (in
-    all, where the source has fewer than SOURCE_TEXTS such texts); a value inside
-    that ends in such a sentence, or in the beginning of a word or value that its
-    field holds at least LONGER_RATIO times as often. Null, empty and blank texts
+    first. Cut are: an open bracket of a structure, string, escape or fence; half a
+    character (the replacement sign) or a mark that says so at the end; a tag left
+    open that is usually closed in that source, or a last sentence without terminator
+    whose opening usually ends with one there (in all sources, where that one has
+    fewer than SOURCE_TEXTS such texts); a value inside that ends in such a sentence,
+    or in the beginning of a word or value that its field holds at least LONGER_RATIO
+    times as often, whatever its length. Null, empty and blank texts
     are not cut. All counts are over all distinct texts; an empty table gives no rows.
     """
     texts = answers.filter("raw_text IS NOT NULL").groupBy("raw_text", source_key().alias("source")).agg(F.count("*").alias("n"))

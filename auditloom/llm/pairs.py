@@ -9,6 +9,7 @@ in another language than the question.
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,18 +17,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, salted_join
+from ..session import checkpoint
 from . import language
 from .completeness import PAD, cut_answers, strip_end, structure
 from .ids import plain_id
 
-# Phrases that decline a task, by language.
+# How a refusal begins and what it refuses, by language; every beginning may go with every deed.
+UNABLE: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "en": (
+        ("can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "would not", "wouldn't", "am unable to", "i'm unable to", "unable to", "not able to", "not going to", "not willing to", "refuse to", "decline to", "must decline to", "not allowed to", "not permitted to", "not authorised to", "not authorized to", "not in a position to", "do not", "don't", "rather not", "prefer not to", "not comfortable with", "not supposed to"),
+        ("help", "helping", "assist", "assisting", "answer", "answering", "be answering", "respond", "reply", "comply", "fulfil", "provide", "give assessments", "give opinions", "offer", "comment", "discuss", "engage", "participate", "take part", "process", "analyse", "analyze", "evaluate", "rate pictures", "rate images", "do that", "do this", "support this request", "continue with this", "proceed", "make judgements", "make judgments", "share"),
+    ),
+    "es": (("no puedo", "no podré", "no es posible", "no me es posible", "no voy a", "no debo", "prefiero no", "no me está permitido", "no estoy autorizado a", "no estoy autorizada a", "me niego a", "no quiero"), ("ayudar", "ayudarle", "ayudarte", "analizar", "responder", "contestar", "atender", "comentar", "proporcionar", "dar", "evaluar", "procesar", "continuar", "cumplir", "hacer eso", "opinar")),
+    "de": (("kann ich nicht", "kann ich leider nicht", "kann nicht", "darf ich nicht", "darf nicht", "möchte ich nicht", "möchte nicht", "will ich nicht", "werde ich nicht", "werde nicht", "kann ihnen nicht", "kann dir nicht", "kann ihnen dabei nicht", "kann dir dabei nicht", "kann dabei nicht", "kann dazu nicht", "kann hierbei nicht", "kann diese anfrage nicht", "kann diese frage nicht"), ("helfen", "weiterhelfen", "beantworten", "antworten", "auswerten", "analysieren", "bewerten", "beurteilen", "erfüllen", "bearbeiten", "kommentieren", "unterstützen", "besprechen")),
+    "fr": (("ne peux pas", "ne peux", "ne puis", "ne pourrai pas", "ne suis pas en mesure de", "ne suis pas en mesure d'", "ne suis pas autorisé à", "ne suis pas autorisée à", "ne souhaite pas", "ne vais pas", "préfère ne pas", "refuse de", "refuse d'", "dois refuser de", "dois refuser d'", "n'ai pas le droit de", "n'ai pas le droit d'"), ("vous aider", "t'aider", "aider", "répondre", "y répondre", "analyser", "commenter", "évaluer", "fournir", "traiter", "donner suite", "donner", "accéder", "poursuivre")),
+    "pt": (("não posso", "não poderei", "não consigo", "não vou", "não devo", "prefiro não", "não me é permitido", "não estou autorizado a", "não estou autorizada a", "recuso-me a", "não é possível", "não me é possível"), ("ajudar", "ajudá-lo", "ajudar-te", "analisar", "responder", "comentar", "avaliar", "fornecer", "processar", "atender", "dar", "continuar", "cumprir", "fazer isso")),
+    "zh": (("无法", "不能", "不便", "不可以", "不会", "不予", "没办法", "拒绝", "不愿"), ("协助", "帮助", "提供", "回答", "分析", "回应", "处理", "评论", "讨论", "满足", "评估", "作答", "继续")),
+}
+# Other phrases that decline a task.
 DECLINES = (
-    "can't help", "cannot help", "can not help", "can't assist", "cannot assist", "unable to help", "unable to assist", "not able to", "i am unable", "i'm unable", "won't be", "will not be answering", "won't answer", "will not answer", "to decline", "i decline", "must decline", "refuse to", "i refuse", "not allowed", "not permitted", "guidelines", "policy", "policies", "language model", "as an ai", "pass on this", "turned down", "something else", "another service", "don't give assessments", "do not give assessments", "don't provide", "do not provide", "beyond what i", "outside my", "no judgement", "no judgment", "rather not", "not comfortable", "against my", "no way to judge", "serve you better", "can't process", "cannot process", "can't comment", "cannot comment", "can't discuss", "cannot discuss", "can't analyse", "can't analyze", "cannot analyse", "cannot analyze", "not going to", "can't answer", "cannot answer", "can't do that", "cannot do that", "can't judge", "can't identify", "cannot identify people", "cannot fulfil", "can't fulfil", "cannot comply", "can't comply",
-    "no puedo ayudar", "no puedo analizar", "no puedo responder", "no puedo atender", "no me está permitido", "no estoy autorizad", "prefiero no", "debo rechazar", "rechazar", "me niego", "no me es posible", "no responderé", "mis normas", "modelo de lenguaje",
-    "nicht helfen", "ablehnen", "nicht erlaubt", "darf ich nicht", "möchte ich nicht", "will ich nicht", "nicht beantworten", "nicht auswerten", "nicht gestattet", "verweigere", "sprachmodell", "meine richtlinien",
-    "ne peux pas vous aider", "ne peux pas aider", "ne puis", "pas permis", "pas autorisé", "dois refuser", "refuse", "refuser", "préfère ne pas", "décliner", "décline", "ne souhaite pas répondre", "ne répondrai", "modèle de langage", "ne peux pas répondre", "ne peux pas analyser",
-    "não posso ajudar", "não posso analisar", "não posso responder", "não me é permitido", "não estou autorizad", "prefiro não", "tenho de recusar", "devo recusar", "recusar", "recuso", "não vou responder", "modelo de linguagem",
-    "无法协助", "无法帮助", "不能帮助", "不能协助", "拒绝", "不能分析", "无法分析", "不便回答", "无法回答", "不能回答", "不予回答", "语言模型", "不允许",
+    "to decline", "i decline", "must decline", "have to refuse", "must refuse", "i refuse", "not allowed", "not permitted", "my guidelines", "our guidelines", "usage policy", "usage policies", "content policy", "policy does not", "policies do not", "policy forbids", "against my", "against the rules", "language model", "as an ai", "have to pass on", "i'll pass on", "will pass on", "must pass on", "beyond what i", "outside my", "outside of my", "outside what i", "out of scope for me", "not something i", "i'd rather not", "i would rather not", "not comfortable", "requests like this", "requests of this kind", "questions of this kind", "questions like this", "this request is declined", "request denied", "not my place",
+    "me niego", "debo rechazar", "tengo que rechazar", "rechazo esta", "no me está permitido", "no está permitido", "mis normas", "mis directrices", "mis políticas", "modelo de lenguaje", "este tipo de solicitud", "este tipo de pregunta", "fuera de mis",
+    "muss ich ablehnen", "lehne ich ab", "lehne ab", "ablehnen", "verweigere", "nicht gestattet", "nicht erlaubt", "meine richtlinien", "meinen richtlinien", "sprachmodell", "anfragen dieser art", "fragen dieser art", "außerhalb meiner",
+    "dois refuser", "je refuse", "dois décliner", "je décline", "pas permis", "pas autorisé", "mes consignes", "mes directives", "modèle de langage", "ce genre de demande", "ce genre de question", "ce type de demande", "hors de mes",
+    "tenho de recusar", "devo recusar", "tenho que recusar", "eu recuso", "recuso este", "recuso esta", "não me é permitido", "não é permitido", "as minhas normas", "minhas diretrizes", "modelo de linguagem", "este tipo de pedido", "este tipo de pergunta", "fora do meu",
+    "必须拒绝", "只能拒绝", "拒绝", "不允许", "语言模型", "我的准则", "我的规定", "此类请求", "这类问题", "这类请求",
 )
 # Phrases that often go with a refusal but also with other answers.
 APOLOGIES = (
@@ -54,13 +69,17 @@ COPY_SHARE, MAX_OWN_RUN = 0.75, 3
 SENTENCE_RUN = 15
 #: Shortest piece of the prompt that counts as copied.
 MIN_PIECE = 4
+#: Characters of prompts whose automata a task keeps (some 0.3 KB each), and of texts whose language it keeps.
+AUTOMATON_CHARS, LANGUAGE_CHARS = 60_000, 2_000_000
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:[-'’][^\W_㐀-鿿]+)*|§")
-_QUOTED = re.compile(r"['\"“‘「]([^'\"”’」]{3,60})['\"”’」]")
+# a name in quotes; an apostrophe between letters opens and ends nothing
+_QUOTED = re.compile(r"“([^”]+)”|「([^」]+)」|(?<![^\W_㐀-鿿])(?:'((?:[^']|(?<=\w)'(?=\w))+?)'|‘([^’]+)’|\"([^\"]+)\")(?![^\W_㐀-鿿])")
+_BLANKS = re.compile(r"\s+")
 _HAN = re.compile(r"[㐀-鿿]")
 _PART = re.compile(r"[.!?\n。！？]+")
 _FILLED = re.compile(r"\"\s*:\s*(?:true|false|-?\d|\"[^\"\s])")
-_MARKUP = re.compile(r"```[a-z]*|</?[A-Za-z|][^<>]{0,30}>|^\s*>\s?", re.M)
+_MARKUP = re.compile(r"```[a-z]*|</?[A-Za-z|][^<>]*>|^\s*>\s?", re.M)
 
 
 @lru_cache(1)
@@ -68,7 +87,8 @@ def _automata():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, phrases in (("decline", DECLINES), ("apology", APOLOGIES), ("finding", FINDINGS)):
+    unable = (f"{begin}{'' if lang == 'zh' or begin.endswith(chr(39)) else ' '}{deed}" for lang, (begins, deeds) in UNABLE.items() for begin in begins for deed in deeds)
+    for kind, phrases in (("decline", {*DECLINES, *unable}), ("apology", APOLOGIES), ("finding", FINDINGS)):
         for p in phrases:
             found.add_word(p, (*found.get(p, ()), (kind, p)))
     found.make_automaton()
@@ -119,9 +139,28 @@ class SuffixAutomaton:
         return out
 
 
-@lru_cache(4096)
-def _automaton(prompt: str) -> SuffixAutomaton:
-    return SuffixAutomaton(prompt)
+class Kept:
+    """Results of a function of one text, the last used first, up to so many characters of texts in all."""
+
+    def __init__(self, function, most: int) -> None:
+        self.function, self.most, self.held, self.of = function, most, 0, OrderedDict()
+
+    def __call__(self, text: str, *more):
+        key = (text, *more)
+        if key in self.of:
+            self.of.move_to_end(key)
+            return self.of[key]
+        found = self.function(*key)
+        size = sum(map(len, key)) + 100
+        if size <= self.most // 8:
+            self.of[key] = found
+            self.held += size
+            while self.held > self.most:
+                self.held -= sum(map(len, self.of.popitem(last=False)[0])) + 100
+        return found
+
+
+_automaton = Kept(SuffixAutomaton, AUTOMATON_CHARS)
 
 
 def _flat(text: str, name: str) -> str:
@@ -131,6 +170,9 @@ def _flat(text: str, name: str) -> str:
     return " ".join(_WORD.findall(text))
 
 
+_prompt = Kept(lambda question, system, name: f"{_flat(system, name)} ¶ {_flat(question, name)}", LANGUAGE_CHARS)
+
+
 def _own_sentence(part: str, prompt: str, name: str) -> bool:
     """A sentence of at least three words of its own kind: no long piece of it is from the prompt."""
     flat = _flat(part, name)
@@ -142,14 +184,21 @@ def _own_sentence(part: str, prompt: str, name: str) -> bool:
 
 
 def copied(answer: str, question: str, system: str, name: str) -> tuple[bool, str]:
-    """(the answer is a copy of the prompt and nothing else, the answer's words that are not from the prompt)."""
-    prompt = f"{_flat(system, name)} ¶ {_flat(question, name)}"
+    """(the answer is a copy of the prompt and nothing else, the answer's words without those of copied pieces).
+
+    Where no piece is long enough for a copy, the words are all the answer's.
+    """
+    prompt = _prompt(question, system, name)
     flat = _flat(_MARKUP.sub(" ", answer), name)
     if not flat:
         return False, ""
+    chinese = _HAN.search(flat) is not None
+    # a run of n characters holds a whole block of (n + 1) // 2 characters; without a common block there is no run
+    block = ((2 * CJK_RUN - 1 if chinese else COPY_RUN) + 1) // 2
+    if not any(flat[i : i + block] in prompt for i in range(0, len(flat) - block + 1, block)):
+        return False, flat
     runs = _automaton(prompt).runs(flat)
     covered, longest, cjk_longest = bytearray(len(flat)), 0, 0
-    chinese = _HAN.search(flat) is not None
     for i, (size, after) in enumerate(zip(runs, [*runs[1:], -1])):
         if after == size + 1 or size < (2 if chinese else MIN_PIECE):
             continue  # the match goes on, or is too short to count
@@ -185,8 +234,8 @@ def is_empty(text: str | None) -> bool:
     if not any(c.isalnum() for c in core):
         return True
     if core[0] in "{[\"'":
-        left_open, end, values = structure(core)
-        if not left_open and end == len(core) and core[0] in "{[":
+        found = structure(core)
+        if not found.left_open and found.end == len(core) and core[0] in "{[":
             bare = re.sub(r"[\"'][^\"']*[\"']\s*:", "", core)
             bare = re.sub(r"\"\s*\"|'\s*'", "", bare)
             return not [w for w in _WORD.findall(bare.lower()) if w not in EMPTY_WORDS] and not any(c.isdigit() for c in bare)
@@ -199,39 +248,33 @@ def _texts(answer: str) -> tuple[str, list[str], bool]:
     begin = min((i for i in (core.find("{"), core.find("[")) if i >= 0), default=-1)
     if begin < 0:
         return core, [], False
-    _, end, values = structure(core)
+    _, end, values, _ = structure(core)
     running = core[:begin] + " " + core[max(end, begin) :] if end else core[:begin]
     contract = sum(k in core for k in ANSWER_KEYS) >= 2
     return running, [v for f, v in values if f not in ("status", "reliability", "pest_name", "pest_id", "species", "stage", "question", "prompt")], contract
 
 
-@lru_cache(65_536)
-def _spoken(text: str, name: str) -> str | None:
-    """The language of a text; values and short answers repeat, so most come from the cache."""
-    return language.vote(_language_text(text, name))
-
-
 def _language_text(text: str, name: str) -> str:
     flat = _flat(_MARKUP.sub(" ", re.sub(r"[A-Za-z]+_[A-Za-z_]+", " ", text)), name)
     return " ".join(w for w in flat.split(" ") if w != "§" and w not in STATUS_WORDS)
 
 
-@lru_cache(4096)
-def _question_language(question: str, name: str) -> str | None:
-    return language.vote(_language_text(question, name))
+_spoken = Kept(lambda text, name: language.vote(_language_text(text, name)), LANGUAGE_CHARS)
 
 
 def refuses(text: str, name: str) -> bool:
-    """The text declines the task: it holds more phrases of refusals than of findings, or speaks of neither pest nor evidence at all."""
-    low = text.casefold().replace("’", "'")
+    """The text declines the task: it holds a phrase that declines, and more of refusals than of findings.
+
+    A text that says nothing of the kind is no refusal, whatever it leaves out.
+    """
+    low = _BLANKS.sub(" ", text.casefold().replace("’", "'"))
     kinds: dict[str, set[str]] = {"decline": set(), "apology": set(), "finding": set()}
     for _, hits in _automata().iter(low):
         for kind, phrase in hits:
             kinds[kind].add(phrase)
     answers = len(kinds["finding"]) + 3 * bool(name and name.casefold() in low)
     score = 2 * len(kinds["decline"]) + len(kinds["apology"])
-    words = len(_WORD.findall(low))
-    return bool(kinds["decline"]) and score > 2 * answers or not answers and (score > 0 or words >= 5)
+    return bool(kinds["decline"]) and score > 2 * answers
 
 
 def defect(question: str, system: str, answer: str | None, cut: bool) -> str | None:
@@ -239,7 +282,7 @@ def defect(question: str, system: str, answer: str | None, cut: bool) -> str | N
     if is_empty(answer):
         return "empty"
     quoted = _QUOTED.search(question)
-    name = quoted.group(1).casefold() if quoted else ""
+    name = next(g for g in quoted.groups() if g).strip().casefold() if quoted else ""
     running, values, contract = _texts(answer)
     own, plain = running, "{" not in answer
     if not contract or plain:
@@ -254,7 +297,7 @@ def defect(question: str, system: str, answer: str | None, cut: bool) -> str | N
         return "refusal"
     if not plain and running.strip(PAD + "`"):
         own = copied(running, question, system, name)[1]
-    wanted = _question_language(question, name)
+    wanted = _spoken(question, name)
     if wanted:
         for text in (own, " ".join(values)):
             got = _spoken(text, name) if text.strip() else None
@@ -286,9 +329,10 @@ def pair_defects(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     blank = F.regexp_replace(message_text("user"), r"[\s\x{a0}\x{3000}\x{200b}]+", "") == ""
     asked = manifest.select(plain_id(F.col("id")).alias("id"), message_text("user").alias("question"), message_text("system").alias("system"), blank.alias("blank")).filter("id IS NOT NULL AND NOT blank").groupBy("id").agg(F.max(F.struct("question", "system")).alias("q")).select("id", "q.question", "q.system")
-    answers = predictions.select(plain_id(F.col("id")).alias("id"), "attempt", "source", "raw_text").distinct()
+    answers = checkpoint(predictions.select(plain_id(F.col("id")).alias("id"), "attempt", "source", "raw_text").filter("id IS NOT NULL").distinct())
+    hot = hot_keys(answers.groupBy("id").agg(F.count("*").alias("n")), "id", "n", answers.count())
     cut = cut_answers(predictions).select(plain_id(F.col("id")).alias("id"), F.coalesce("attempt", F.lit(-1)).alias("_attempt"), F.lit(True).alias("cut")).distinct()
-    pairs = answers.join(asked, "id").withColumn("_attempt", F.coalesce("attempt", F.lit(-1))).join(cut, ["id", "_attempt"], "left")
+    pairs = salted_join(answers, asked, "id", hot, F.xxhash64("attempt", "source", "raw_text")).withColumn("_attempt", F.coalesce("attempt", F.lit(-1))).join(cut, ["id", "_attempt"], "left")
     return pairs.select("id", "attempt", "source", "raw_text", "question", "system", "cut").mapInPandas(_defects, "id string, attempt int, source string, defect string")
 
 

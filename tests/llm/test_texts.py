@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ JSON = '{"evidence_present":true,"evidence_region":[1,2,3,4],"visible_attributes
 SAID = "Yes, the pixels support the vine moth: it rests on the petiole."
 
 
-@pytest.mark.parametrize("text", [JSON[:-1], JSON[:80], f"```json\n{JSON}", JSON[:-9] + "�", JSON[:60] + "…[+99]", "<answer>yes it is", SAID[:20] + " [truncated]", JSON[:50] + "   ​\n", '{"a": "x\\'])
+@pytest.mark.parametrize("text", [JSON[:-1], JSON[:80], f"```json\n{JSON}", JSON[:-9] + "�", JSON[:60] + "…[+99]", "Answer: [12, 34", "y (truncated at 512 tokens by the gateway of this project)", SAID[:20] + " [truncated]", JSON[:50] + "   ​\n", '{"a": "x\\'])
 def test_open_structures_are_cut(text):
     assert completeness.scan(text)[0]
 
@@ -19,6 +20,44 @@ def test_closed_structures_are_not_cut(text):
     assert not cut and all(p[2] or p[0] == "done" for p in prose if p[0] in ("yes,", "don't"))
 
 
+@pytest.mark.parametrize("text", ["First line.<br>Second line ends here.", "The range is [0, 1) for all values.", "Use <name> as the label.", "Set x to {name} and go on.", "Some tips went brown (cut leaves were left out of the picture).", "It spans (length 5 mm).", "Open it with [ and close it later.", "He said 'well' and left.", "a < b and c > d.", "See note {1", "Wait..."])
+def test_ordinary_text_is_no_certain_cut(text):
+    assert not completeness.scan(text)[0]
+
+
+def test_sound_json_needs_no_automaton():
+    rng = random.Random(8)
+
+    def value(depth):
+        plain = lambda: rng.choice(["a b", "x", "", "né", 'q"\n', 7, None, True])
+        some = lambda: {rng.choice("abc"): value(depth - 1) for _ in range(3)}
+        many = lambda: [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([plain, some, many] if depth else [plain])()
+
+    for _ in range(200):
+        text = json.dumps({"k": value(3), "l": value(2)}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        quick, slow = completeness.structure(text), completeness.structure(f"Answer: {text}")
+        assert not quick.left_open and not slow.left_open and sorted(quick.values) == sorted(slow.values) and slow.end == len(text) + 8
+    assert not completeness.structure("[" * 50_000 + "]" * 50_000).left_open and completeness.structure("[" * 50_000).left_open
+    assert completeness.structure('{"a": "x"' + " " * 500 + ', "b": "y').left_open
+    assert completeness.structure('{"a": "x"' + " " * 500 + ', "a": "y"}').values == [("a", "x"), ("a", "y")]
+
+
+@pytest.mark.parametrize("size", [65, 1_000, 100_000])
+def test_cut_values_of_any_length(spark, size):
+    whole = "https://example.org/" + "ab/" * (size // 3) + "end"
+    rows = [(f"w{i}", json.dumps({"link": whole, "n": i})) for i in range(6)] + [("cut", json.dumps({"link": whole[:size]})), ("other", json.dumps({"link": whole[: size - 1] + "!"})), ("field", json.dumps({"name": whole[:size]}))]
+    df = spark.createDataFrame([(i, 1, "s", t) for i, t in rows], "id string, attempt int, source string, raw_text string")
+    assert {r["id"] for r in completeness.cut_answers(df).collect()} == {"cut"}
+
+
+def test_open_tags_are_held_against_their_source(spark):
+    rows = [(f"a{i}", "m", f"<answer>Yes, moth {i}.</answer>") for i in range(9)] + [("cut", "m", "<answer>Yes, the moth is there.")]
+    rows += [(f"b{i}", "n", f"Line {i}.<br>It ends here. <note>") for i in range(9)]
+    df = spark.createDataFrame([(i, 1, s, t) for i, s, t in rows], "id string, attempt int, source string, raw_text string")
+    assert {r["id"] for r in completeness.cut_answers(df).collect()} == {"cut"}
+
+
 def test_cut_answers_by_baselines(spark):
     rows = [(f"a{i}", 1, "m", SAID) for i in range(3)] + [(f"b{i}", 1, "m", f"Yes, the pixels support the moth number {i}.") for i in range(20)]
     rows += [(f"c{i}", 1, "m", JSON.replace("3,4]", f"3,{i + 4}]")) for i in range(20)]
@@ -57,6 +96,36 @@ def test_defects(answer, want):
     assert pairs.defect(Q, SYSTEM, answer, False) == want
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Frost damage explains all of these brown leaf edges.", "The roots were too wet for weeks, and the whole row turned yellow.", "Paris is the capital of France and has two million people.", "Start by heating the oven, then mix the flour with the eggs.", "She bought three tickets and went home by bus.", "Use a smaller learning rate and train for ten more epochs.",
+        "First line.<br>Second line ends here.", "The range is [0, 1) for all values.", "Use <name> as the label.", "We do not know who drew the map, but it was drawn before 1900.", "Nothing can replace a good night of sleep.",
+    ],
+)
+def test_prose_of_other_kinds_has_no_defect(answer):
+    assert pairs.defect(Q, SYSTEM, answer, completeness.scan(answer)[0]) is None
+
+
+@pytest.mark.parametrize("name", ["vine moth", "v" * 61, "long " * 40 + "moth", "D'Arcy's moth"])
+def test_names_of_any_length(name):
+    q = Q.replace("vine moth", name)
+    assert pairs.defect(q, SYSTEM, SAID.replace("vine moth", name), False) is None
+    assert pairs.defect(q, SYSTEM, q, False) == "copy"
+    assert pairs.defect(q, SYSTEM, f"是的，像素支持{name}的存在，它停在叶柄上。", False) == "other_language"
+
+
+def test_kept_results_are_bounded():
+    made = []
+    kept = pairs.Kept(lambda t: made.append(t) or len(t), 8_000)
+    for i in range(1000):
+        assert kept(f"{i:0500d}") == 500
+    assert kept.held <= 8_000 and len(kept.of) <= 14
+    assert kept("x" * 5_000) == 5_000 and kept.held <= 8_000
+    kept("y"), kept("y")
+    assert made.count("y") == 1
+
+
 def test_defect_of_other_questions():
     q = "Entscheide, ob der Schädling 'vine moth' durch das Bild belegt ist. Antworte mit einem JSON-Objekt; eine kurze Bemerkung auf Deutsch ist erlaubt."
     assert pairs.defect(q, "", "Ja, die Pixel belegen den vine moth, er sitzt an der Ranke. Der Kasten umfasst nur den Körper.", False) is None
