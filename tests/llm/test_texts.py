@@ -1,7 +1,9 @@
+import hashlib
 import json
 import random
 
 import pytest
+from abuse_held_out import HELD_OUT
 
 from auditloom.llm import abuse, completeness, language, packing, pairs, tokens
 
@@ -221,32 +223,45 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), specs).count() == 0 and packing.pack(df, specs.limit(0)).count() == 0
 
 
-def test_abuse_is_found_in_held_out_templates():
-    import hashlib
+def abusive(text):
+    return abuse.document_score(text, abuse.model(), abuse.Reader())[0] >= abuse.THRESHOLD
 
+
+def test_abuse_in_held_out_sentences():
+    bad = [abusive(t) for b, _ in HELD_OUT.values() for t in b]
+    good = [abusive(t) for _, g in HELD_OUT.values() for t in g]
+    assert len(HELD_OUT) >= 10 and sum(bad) / len(bad) >= 0.9 and sum(good) / len(good) <= 0.05
+
+
+def test_abuse_is_found_in_patterns_left_out():
     part = lambda t: int(hashlib.md5(t.encode()).hexdigest(), 16) % 4
     weights = abuse.train(abuse.training_documents(4000, 1, lambda t: part(t) == 0), rounds=150)
-    rng = random.Random(3)
-    score = lambda t: abuse.sentence_score(abuse.visible(abuse._fill(t, rng)), weights)
-    bad = [score(t) >= 0.5 for t in abuse.ABUSIVE if part(t) == 0]
-    good = [score(t) >= 0.5 for t in abuse.HARMLESS if part(t) == 0]
-    assert sum(bad) / len(bad) > 0.85 and sum(good) / len(good) < 0.1
+    rng, reader = random.Random(3), abuse.Reader()
+    score = lambda t, lang: abuse.sentence_score(abuse.visible(abuse._fill(t, lang, rng)), weights, reader)
+    bad = [score(t, lang) >= 0.5 for lang, ts in abuse.ABUSIVE.items() for t in ts if part(t) == 0]
+    good = [score(t, lang) >= 0.5 for lang, ts in abuse.HARMLESS.items() for t in ts if part(t) == 0]
+    assert sum(bad) / len(bad) > 0.8 and sum(good) / len(good) < 0.2
 
 
-@pytest.mark.parametrize("text", ["Whoever wrote the caption is a FucKiNg h​a​l​f​w​i​t.", "you are the biggest аsshоlе I ever met", "Go f**k yourself, and take the desk with you", "You 1d10t, you are a total m0r0n!", "you are a i d i o t and a loser", "you are such a iddiot and everybody knows it", "Das Blatt ist welk. Verpiss dich, du Arschloch. Danke.", "你就是个傻瓜，废物一个"])
+@pytest.mark.parametrize("text", ["You are a FucKiNg m\u200bo\u200br\u200bo\u200bn.", "he is the biggest \u0430sshоl\u0435 I ever met", "Go f**k yourself, and take your friends along", "1d10t", "You total m0r0n, you can't even count!", "you are an i d i o t and a loser", "you are such a stuuuupid liiiar", "The weather is fine. Verpiss dich, du Arschloch. Danke.", "你真是个白痴", "I will k1ll you tonight", "SHE IS A WORTHLESS BITCH!!!"])
 def test_disguised_abuse(text):
-    assert abuse.document_score(text, abuse.model())[1] >= 0.5
+    assert abusive(text)
 
 
-@pytest.mark.parametrize("text", ["", None, "   ", "The cock crowed, great tits took 4 larvae.", "Kill every weevil before they breed, no mercy.", 'Under the posting policy, lines like "you are scum" lead to a ban.', "This fucking rain ruined trap 4.", "Migrants reached the light trap: 20 moths.", "x" * 20000, "12 455 455 3"])
+@pytest.mark.parametrize("text", ["", None, "   ", "The cock crowed at four and the hens woke up.", "Kill every weevil before they spread.", 'The policy bans lines like "you are scum".', "This fucking rain ruined the party.", "Moths reached the lamp: 20 of them.", "x" * 20000, "12 455 455 3", "*** $$$ @@@ !!!", "f*", "The root of the book took root.", "ACGT" * 5000])
 def test_harmless_texts(text):
-    assert abuse.document_score(text, abuse.model())[1] < 0.5
+    assert not abusive(text)
+
+
+def test_long_harmless_documents_stay_harmless():
+    assert not abusive("The vaccine kills the virus within hours. My stupid printer broke again. Our dog died last winter. " * 300)
+    assert abusive("The vaccine kills the virus within hours. " * 300 + "You are a worthless piece of shit. " + "We met at the gate. " * 300)
 
 
 def test_abuse_of_documents(spark):
     df = spark.createDataFrame([(1, "s", "Nothing to add. You are a stupid moron! Thanks.", "c"), (2, None, None, "c"), (3, "s", "", "c"), (4, "s", "Trap 4 held 3 adults. " * 400, "c")], "doc_id long, source string, text string, score string")
     got = {r["doc_id"]: r for r in abuse.score_documents(df).collect()}
-    assert got[1]["sentence_score"] >= 0.5 and "moron" in got[1]["sentence"] and got[2]["score"] == 0 and got[4]["sentence_score"] < 0.5
+    assert got[1]["score"] >= 0.5 and got[1]["sentence"] == "You are a stupid moron!" and got[2]["score"] == 0 and got[4]["score"] < 0.5
     assert [r["doc_id"] for r in abuse.abusive_documents(df).collect()] == [1]
     assert {r["source"]: (r["documents"], r["abusive"]) for r in abuse.abuse_report(df).collect()} == {"s": (3, 1), None: (1, 0)}
     assert abuse.score_documents(df.limit(0)).count() == 0
