@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,18 +15,68 @@ from .rank import running_before
 from .skew import hot_keys, salted_join
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Nodes that one union-find holds before it hands out its forest and starts anew.
+NODES_PER_FOREST = 400_000
+#: Forests of at most so many rows are merged in one task.
+EDGES_PER_PARTITION = 400_000
+
+
+def forests(limit: int, kind: str = "string"):
+    """A map over batches of edges (two columns) that gives a spanning forest of its partition: (node, root), roots least.
+
+    At ``limit`` nodes a forest is handed out and a new one begun, so memory is bounded.
+    """
+    whole = kind in ("int", "bigint", "smallint", "tinyint")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            root = x
+            while (up := parent[root]) != root:
+                root = up
+            while (up := parent[x]) != root:
+                parent[x], x = root, up
+            return root
+
+        def forest() -> pd.DataFrame:
+            found = pd.DataFrame({"node": list(parent), "root": [find(x) for x in parent]})
+            return found.astype("int64") if whole else found
+
+        for pdf in batches:
+            for a, b in pdf.drop_duplicates().itertuples(index=False):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = find(a), find(b)
+                if x < y:
+                    parent[y] = x
+                elif y < x:
+                    parent[x] = y
+            if len(parent) >= limit:
+                yield forest()
+                parent.clear()
+        if parent:
+            yield forest()
+
+    return run
+
+
+def components(edges: DataFrame, max_rounds: int = 60, edges_per_partition: int = EDGES_PER_PARTITION) -> DataFrame:
     """(node, component): components of an edge table (a, b), named by their least node.
 
-    Alternates large-star (a node's greater neighbours go to its least one) and
-    small-star (its lesser neighbours and itself do), which ends in one star per
-    component after a number of rounds that grows as the squared logarithm of the
-    size. A node that bears a large part of the edges is spread over tasks; edges are
-    written to the checkpoint folder each round. A self edge names a lone node.
+    Each partition first keeps a spanning forest of its edges. If the forests together
+    have at most ``edges_per_partition`` rows they are merged in one task; else rounds
+    of large-star (a node's greater neighbours go to its least one) and small-star
+    (its lesser neighbours and itself do) end in one star per component, after a
+    number of rounds that grows as the squared logarithm of the size. A node that
+    bears a large part of the edges is spread over tasks. A self edge names a lone node.
     """
-    e = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    start = checkpoint(e)
-    state = start.filter("a <> b")
+    kind = edges.schema["a"].dataType.simpleString()
+    e = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", F.col("b").cast(kind))
+    forest = checkpoint(e.mapInPandas(forests(NODES_PER_FOREST, kind), f"node {kind}, root {kind}"))
+    if forest.count() <= edges_per_partition:
+        return checkpoint(forest.coalesce(1).mapInPandas(forests(2**62, kind), f"node {kind}, root {kind}").toDF("node", "component"))
+    state = checkpoint(forest.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
     sign = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
     before = state.agg(*sign).first()
     for _ in range(max_rounds):
@@ -44,7 +95,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     grown = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    lone = start.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).join(grown.select("node"), "node", "left_anti")
+    lone = forest.filter("node = root").select("node", F.col("root").alias("component")).join(grown.select("node"), "node", "left_anti")
     return grown.union(roots.union(lone).distinct())
 
 

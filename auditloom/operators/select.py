@@ -121,6 +121,35 @@ def cyclic_schedule(df: DataFrame, order: list[str], length: int, roles: tuple[s
     return at.join(pool.drop("_n"), "_i").drop("_i", "_size")
 
 
+def class_quota_schedule(rows: DataFrame, family: str, klass: str, band: str, role: str, key: str, quotas: dict[str, int], per_class: int, roles: tuple[str, ...], length: int, strict: bool = True) -> DataFrame:
+    """An exposure schedule over whole families: (step, schedule_role, key, family, class, band, exposure_id).
+
+    Of each band the quota of classes is picked by hash among those with at least
+    ``per_class`` families that have every role; of each class that many families, by
+    hash. Step i takes role i modulo the roles, from that role's rows in hash order,
+    over and over, so each family's rows are passed through whole. A band with too few
+    classes fails the query, unless ``strict`` is off: then it gives those it has. The picked rows (quotas times families) are few by
+    request; the ranking before them is spread over tasks.
+    """
+    known = rows.filter(F.col(family).isNotNull() & F.col(klass).isNotNull() & F.col(role).isin(*roles))
+    whole = known.groupBy(klass, band, family).agg(*[F.count_if(F.col(role) == r).alias(f"_{i}") for i, r in enumerate(roles)]).filter(" AND ".join(f"_{i} >= 1" for i in range(len(roles)))).select(klass, band, family)
+    classes = whole.groupBy(klass, band).agg(F.count("*").alias("_n")).filter(F.col("_n") >= per_class)
+    picked = None
+    for name, quota in sorted(quotas.items()):
+        one = hash_top_k(classes.filter(F.col(band) == name), klass, [band], quota, f"class-{name}")
+        gap = one.agg(F.count("*").alias("n")).select(F.when(F.col("n") == quota, True).otherwise(F.raise_error(F.format_string(f"band {name} has %d of {quota} classes", "n")).cast("boolean")).alias("_ok"))
+        one = (one.crossJoin(F.broadcast(gap)).filter("_ok") if strict else one).select(klass)
+        picked = one if picked is None else picked.unionByName(one)
+    families = hash_top_k(whole.join(picked, klass, "left_semi"), family, [klass], per_class, "family").select(family)
+    pool = known.join(families, family, "left_semi").withColumn("_key", stable_key("exposure", F.col(key)))
+    pool = pool.withColumn("_i", F.row_number().over(Window.partitionBy(role).orderBy("_key", key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(role)))
+    steps = rows.sparkSession.range(length).select(F.col("id").alias("step"), F.element_at(F.array(*map(F.lit, roles)), (F.col("id") % len(roles) + 1).cast("int")).alias("schedule_role"), F.floor(F.col("id") / len(roles)).alias("_turn"))
+    sizes = pool.groupBy(F.col(role).alias("schedule_role")).agg(F.count("*").alias("_size"))
+    at = steps.join(F.broadcast(sizes), "schedule_role").withColumn("_i", (F.col("_turn") % F.col("_size")).cast("int"))
+    out = at.join(pool.withColumnRenamed(role, "schedule_role").drop("_n"), ["schedule_role", "_i"])
+    return out.select("step", "schedule_role", key, family, klass, band, F.substring(F.sha2(F.concat_ws("|", F.lit("exposure"), "step", key).cast("binary"), 256), 1, 32).alias("exposure_id"))
+
+
 def python_random_sample(df: DataFrame, klass: str, value: str, k: int, seed: int) -> DataFrame:
     """Per class, ``random.Random("<seed>:<class>").sample`` of its sorted distinct values; classes must fit a task."""
     import random

@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import spelling
 from ..functions.json_contract import DIAGNOSIS_KEYS, KEYS, RELIABILITIES, STATUSES, with_answers
+from ..functions.spelling import EMPTY_SHA256
 from ..session import table
 
+#: DuckDB expressions of the plain spellings (see ``functions.spelling``) of the columns as the tables name them.
+_EDGE = "' ' || chr(9) || chr(10) || chr(13)"
+SQL_SPLIT = f"CASE WHEN lower(trim(split, {_EDGE})) IN ('train', 'training') THEN 'train' WHEN lower(trim(split, {_EDGE})) IN ('val', 'valid', 'validation') THEN 'val' WHEN lower(trim(split, {_EDGE})) IN ('dev', 'development', 'test') THEN 'dev' WHEN lower(trim(split, {_EDGE})) IN ('excluded', 'exclude') THEN 'excluded' END"
+SQL_COMPONENT = f"CASE WHEN regexp_extract(lower(trim(near_duplicate_component_id, {_EDGE})), '(?:^|[^0-9a-z])([0-9a-f]{{24}}|ip[0-9]{{9}})$', 1) LIKE 'ip%' THEN upper(regexp_extract(lower(trim(near_duplicate_component_id, {_EDGE})), '(?:^|[^0-9a-z])([0-9a-f]{{24}}|ip[0-9]{{9}})$', 1)) ELSE (SELECT CASE WHEN c <> '' AND replace(c, c[1], '') <> '' THEN c END FROM (SELECT regexp_extract(lower(trim(near_duplicate_component_id, {_EDGE})), '(?:^|[^0-9a-z])([0-9a-f]{{24}})$', 1) AS c)) END"
+SQL_DIGEST = f"(SELECT CASE WHEN d <> '' AND replace(d, d[1], '') <> '' AND NOT starts_with('{EMPTY_SHA256}', d) THEN d END FROM (SELECT CASE WHEN regexp_matches(t, '^sha-?256[-:=][A-Za-z0-9+/]{{43}}=$', 'i') THEN lower(hex(from_base64(regexp_extract(t, '[-:=]([A-Za-z0-9+/]{{43}}=)$', 1)))) ELSE regexp_extract(lower(t), '^(?:sha-?256[-:=])?([0-9a-f]{{8,64}})(?:…|\\.\\.\\.)?$', 1) END AS d FROM (SELECT trim(source_image_sha256, {_EDGE}) AS t)))"
+SQL_IMAGE = "nullif(regexp_extract(upper(source_image_id), '(?:^|[^0-9A-Z])(IP[0-9]{9})(?:[^0-9]|$)', 1), '')"
+SQL_ID = f"nullif(lower(trim(id, {_EDGE})), '')"
+PLAIN = f"pl AS (SELECT {SQL_ID} AS id, {SQL_SPLIT} AS split, {SQL_IMAGE} AS image, {SQL_DIGEST} AS digest, {SQL_COMPONENT} AS component, family_id, role, template_id, length_bucket, transform_id, query_class_id, derived_image_sha256 FROM provenance)"
+
 SEEDS = ("s17", "s29", "s43")
 
 
@@ -35,6 +46,12 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "provenance").groupBy("id").agg(*[F.min(c).alias(c) for c in ("family_id", "role", "split", "source", "template_id", "length_bucket", "query_class_id", "present_class_ids", "source_image_id", "source_image_sha256", "near_duplicate_component_id", "transform_id")])
 
 
+def plain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance with id, split, image, digest and component in plain spelling, one row per delivery."""
+    kept = ("family_id", "role", "template_id", "length_bucket", "transform_id", "query_class_id", "derived_image_sha256")
+    return table(spark, sf_dir, "provenance").select(spelling.plain_id(F.col("id")).alias("id"), spelling.plain_split(F.col("split")).alias("split"), spelling.plain_image(F.col("source_image_id")).alias("image"), spelling.plain_digest(F.col("source_image_sha256")).alias("digest"), spelling.plain_component(F.col("near_duplicate_component_id")).alias("component"), *kept)
+
+
 def _quoted(names: tuple[str, ...]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.geometry import expanded
 from ..functions.hashing import hash_bucket
 from ..functions.stats import dot
+from ..functions import spelling
 from ..operators import gates, graph
+from ..operators import outcomes as O
 from ..operators import joins as J
 from ..session import table
-from .base import ANSWERS, FIRST, MANIFEST, OUTCOMES, first_rows, latest_answers, manifest_rows, outcomes, rounded
+from ..sources import sinks
+from .base import ANSWERS, FIRST, MANIFEST, OUTCOMES, PLAIN, SQL_ID, first_rows, latest_answers, manifest_rows, outcomes, plain_rows, rounded
 from .registry import query
 
 _IMAGE = "nullif(regexp_extract(upper({0}), '(?:^|[^0-9A-Z])(IP[0-9]{{9}})', 1), '')"
@@ -59,11 +62,11 @@ def d06_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.pending(table(spark, sf_dir, "manifest").select("id"), table(spark, sf_dir, "predictions"), "id")
 
 
-@query("SELECT id, CASE WHEN source_image_id IN (SELECT source_image_id FROM prior_positives) THEN 'image' WHEN source_image_sha256 IN (SELECT source_image_sha256 FROM prior_positives) THEN 'digest' WHEN near_duplicate_component_id IN (SELECT near_duplicate_component_id FROM prior_positives) THEN 'component' END AS excluded_by FROM provenance")
+@query(f"WITH {PLAIN} SELECT id, CASE WHEN image IN (SELECT source_image_id FROM prior_positives) THEN 'image' WHEN digest IN (SELECT source_image_sha256 FROM prior_positives) THEN 'digest' WHEN component IN (SELECT near_duplicate_component_id FROM prior_positives) THEN 'component' END AS excluded_by FROM pl")
 def d07_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = table(spark, sf_dir, "prior_positives")
-    sets = {"image": ("source_image_id", prior.select("source_image_id")), "digest": ("source_image_sha256", prior.select("source_image_sha256")), "component": ("near_duplicate_component_id", prior.select("near_duplicate_component_id"))}
-    return J.exclusion_reasons(table(spark, sf_dir, "provenance"), sets).select("id", "excluded_by")
+    sets = {"image": ("image", prior.select(spelling.plain_image(F.col("source_image_id")).alias("image"))), "digest": ("digest", prior.select(spelling.plain_digest(F.col("source_image_sha256")).alias("digest"))), "component": ("component", prior.select(spelling.plain_component(F.col("near_duplicate_component_id")).alias("component")))}
+    return J.exclusion_reasons(plain_rows(spark, sf_dir), sets).select("id", "excluded_by")
 
 
 @query("SELECT id, source_id FROM manifest WHERE source_id IN (SELECT id FROM feature_rows)")
@@ -83,20 +86,21 @@ def d10_d11_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.slice("embedding", 1, 63), F.lit(0).cast("long"), lambda a, v: a * 2 + F.when(v > 0, 1).otherwise(0))
+    """The signs of all 64 numbers as a hash."""
+    bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("part"), bits.alias("h"))
 
 
-@query("WITH h AS (SELECT vec_id, label % 2 AS part, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:63], lambda v: (v > 0)::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings), c AS (SELECT h, part, min(vec_id) AS cls FROM h GROUP BY h, part) SELECT a.cls AS \"left\", b.cls AS \"right\", bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.cls < b.cls AND a.part <> b.part WHERE bit_count(xor(a.h, b.h)) <= 18")
+@query("WITH h AS (SELECT vec_id, label % 2 AS part, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda v: (v > 0)::HUGEINT)), lambda a, b: a * 2 + b) AS h FROM embeddings), c AS (SELECT h, part, min(vec_id) AS cls FROM h GROUP BY h, part) SELECT a.cls AS \"left\", b.cls AS \"right\", bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.cls < b.cls AND a.part <> b.part WHERE bit_count(xor(a.h, b.h)) <= 4")
 def d12_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.near_hash_pairs(_sign_hashes(spark, sf_dir), "vec_id", "h", "part", most=18)[0]
+    """Pairs of classes of equal hashes over all 64 signs, at distance up to 4."""
+    return J.near_hash_pairs(_sign_hashes(spark, sf_dir), "vec_id", "h", "part")[0]
 
 
-@query()
+@query("WITH h AS (SELECT vec_id, label % 2 AS part, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda v: (v > 0)::HUGEINT)), lambda a, b: a * 2 + b) AS h FROM embeddings), c AS (SELECT h, part, min(vec_id) AS cls, count(*) AS n FROM h GROUP BY h, part), l AS (SELECT a.cls, sum(b.n) AS links FROM c a JOIN c b ON a.part <> b.part AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY a.cls) SELECT h.vec_id, c.cls AS class, coalesce(l.links, 0)::BIGINT AS links FROM h JOIN c USING (h, part) LEFT JOIN l ON l.cls = c.cls")
 def d12_near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with its class of equal hashes and the number of rows linked to it: all 64 signs, distance up to 4."""
-    bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
-    return J.near_hash_members(table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("part"), bits.alias("h")), "vec_id", "h", "part")
+    return J.near_hash_members(_sign_hashes(spark, sf_dir), "vec_id", "h", "part")
 
 
 @query(f"WITH q AS (SELECT {_IMAGE.format('left_id')} AS l, {_IMAGE.format('right_id')} AS r, phash_distance, structural_correlation FROM pair_matches), k AS (SELECT DISTINCT {_IMAGE.format('source_image_id')} AS i FROM provenance) SELECT count(*) AS pairs, count(*) FILTER (WHERE x.i IS NULL OR y.i IS NULL) AS unresolved, count(*) FILTER (WHERE phash_distance <= 8 AND structural_correlation >= 0.9) AS confident FROM q LEFT JOIN k x ON x.i = q.l LEFT JOIN k y ON y.i = q.r")
@@ -151,17 +155,17 @@ def d19_positive_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pos.unionByName(r.filter((F.col("role") == "semantic_negative") & (hash_bucket(F.col("id"), 10) < 3)).select("id", "query_class_id", F.lit(False).alias("evidence")))
 
 
-@query(f"WITH {FIRST}, d AS (SELECT * FROM r WHERE lower(trim(split)) IN ('dev', 'development')) SELECT id || '/canonical' AS view_id, role FROM d UNION ALL SELECT id || '/' || v, role FROM d, (SELECT unnest(['native_0', 'native_1', 'native_2', 'unseen_alpha', 'unseen_beta']) AS v) WHERE role = 'positive' UNION ALL SELECT id || '/' || c, role FROM d, (SELECT unnest(['blank', 'blur', 'shuffle']) AS c) WHERE role = 'positive'")
+@query(f"WITH {PLAIN}, d AS (SELECT id, min(role) AS role FROM pl WHERE id IS NOT NULL GROUP BY id HAVING min(split) = 'dev') SELECT id || '/canonical' AS view_id, role FROM d UNION ALL SELECT id || '/' || v, role FROM d, (SELECT unnest(['native_0', 'native_1', 'native_2', 'unseen_alpha', 'unseen_beta', 'blank', 'blur', 'shuffle']) AS v) WHERE role = 'positive'")
 def d20_evaluation_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = first_rows(spark, sf_dir).filter(F.lower(F.trim("split")).isin("dev", "development")).select("id", "role")
+    d = plain_rows(spark, sf_dir).filter("id IS NOT NULL").groupBy("id").agg(F.min("role").alias("role"), F.min("split").alias("split")).filter("split = 'dev'").select("id", "role")
     extra = J.each_with(d.filter("role = 'positive'"), "v", ["native_0", "native_1", "native_2", "unseen_alpha", "unseen_beta", "blank", "blur", "shuffle"])
     return d.withColumn("v", F.lit("canonical")).unionByName(extra).select(F.concat_ws("/", "id", "v").alias("view_id"), "role")
 
 
-@query("SELECT DISTINCT source_image_sha256 FROM provenance WHERE source_image_sha256 NOT IN (SELECT source_image_sha256 FROM prior_positives)")
+@query(f"WITH {PLAIN} SELECT DISTINCT digest FROM pl WHERE digest IS NOT NULL AND digest NOT IN (SELECT source_image_sha256 FROM prior_positives)")
 def a18_hash_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "prior_positives").select("source_image_sha256")
-    return table(spark, sf_dir, "provenance").select("source_image_sha256").filter("source_image_sha256 IS NOT NULL").distinct().join(seen, "source_image_sha256", "left_anti")
+    seen = table(spark, sf_dir, "prior_positives").select(spelling.plain_digest(F.col("source_image_sha256")).alias("digest"))
+    return plain_rows(spark, sf_dir).select("digest").filter("digest IS NOT NULL").distinct().join(seen, "digest", "left_anti")
 
 
 @query("SELECT id, class_id, feature_index, len(features) AS width FROM feature_rows WHERE len(list_filter(features, lambda x: NOT isfinite(x))) = 0")
@@ -170,10 +174,20 @@ def a17_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "feature_rows").filter(finite).select("id", "class_id", "feature_index", F.size("features").cast("long").alias("width"))
 
 
-@query("SELECT count(*) AS sources, count(*) FILTER (WHERE p.id IS NULL) AS without FROM (SELECT DISTINCT id FROM manifest) m LEFT JOIN (SELECT DISTINCT id FROM predictions WHERE raw_text IS NOT NULL) p USING (id)")
+@query("SELECT (SELECT count(*) FROM predictions WHERE raw_text IS NOT NULL) AS finalized, EXISTS (SELECT id FROM manifest WHERE id NOT IN (SELECT id FROM predictions WHERE raw_text IS NOT NULL AND id IS NOT NULL)) AS refused")
 def b11_finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "predictions").filter("raw_text IS NOT NULL").select("id").distinct().withColumn("has", F.lit(True))
-    return table(spark, sf_dir, "manifest").select("id").distinct().join(done, "id", "left").agg(F.count("*").alias("sources"), F.count_if(F.col("has").isNull()).alias("without"))
+    """The answers of the answered questions are finalized; with a question left open the same call is refused."""
+    answers = table(spark, sf_dir, "predictions").filter("raw_text IS NOT NULL")
+    asked = table(spark, sf_dir, "manifest").select("id")
+    done = sinks.finalize(asked.join(answers.select("id"), "id", "left_semi"), answers, "id").count()
+    try:
+        sinks.finalize(asked, answers, "id").count()
+        refused = False
+    except Exception as e:  # how a task's failure is wrapped depends on the plan
+        if "have no prediction" not in str(e):
+            raise
+        refused = True
+    return spark.createDataFrame([(done, refused)], "finalized long, refused boolean")
 
 
 @query("SELECT doc_id, 'documents' AS part, sha256('mix/' || doc_id) AS place_key FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 'notes', sha256('mix/' || doc_id) FROM documents WHERE source = 'scout_app'")
@@ -187,9 +201,9 @@ def g02_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.differences(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "predictions"), "id")
 
 
-@query("WITH s AS (SELECT DISTINCT source_image_sha256 AS v, split AS g FROM provenance WHERE split IN ('train', 'val', 'dev') AND source_image_sha256 IS NOT NULL), p AS (SELECT 'dev' AS \"left\", 'train' AS \"right\" UNION ALL SELECT 'dev', 'val' UNION ALL SELECT 'train', 'val') SELECT \"left\", \"right\", (SELECT count(*) FROM s a JOIN s b ON a.v = b.v WHERE a.g = p.\"left\" AND b.g = p.\"right\") AS shared FROM p")
+@query(f"WITH {PLAIN}, s AS (SELECT DISTINCT digest AS v, split AS g FROM pl WHERE split IN ('train', 'val', 'dev') AND digest IS NOT NULL), p AS (SELECT 'dev' AS \"left\", 'train' AS \"right\" UNION ALL SELECT 'dev', 'val' UNION ALL SELECT 'train', 'val') SELECT \"left\", \"right\", (SELECT count(*) FROM s a JOIN s b ON a.v = b.v WHERE a.g = p.\"left\" AND b.g = p.\"right\") AS shared FROM p")
 def g03_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pairwise_overlap(table(spark, sf_dir, "provenance"), "source_image_sha256", "split", ["train", "val", "dev"])
+    return graph.pairwise_overlap(plain_rows(spark, sf_dir), "digest", "split", ["train", "val", "dev"])
 
 
 @query(f"WITH RECURSIVE e AS (SELECT DISTINCT {_IMAGE.format('left_id')} AS a, {_IMAGE.format('right_id')} AS b FROM pair_matches WHERE coalesce(high_confidence, true)), u AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL), w(node, seen) AS (SELECT a, a FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY node")
@@ -223,14 +237,38 @@ def g08_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.repaired(r, "id", changes, "query_class_id", F.col("role") == "semantic_negative").select("id", "query_class_id")
 
 
-@query("SELECT 'repeated_id' AS rule, true AS hard, id AS subject FROM provenance WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'digest_across_splits', true, source_image_sha256 FROM provenance WHERE source_image_sha256 IS NOT NULL AND split IS NOT NULL GROUP BY source_image_sha256 HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'component_across_splits', false, near_duplicate_component_id FROM provenance WHERE near_duplicate_component_id IS NOT NULL AND split IS NOT NULL GROUP BY near_duplicate_component_id HAVING count(DISTINCT split) > 1")
+@query(f"WITH {PLAIN} SELECT 'repeated_id' AS rule, true AS hard, id AS subject FROM pl WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'digest_across_splits', true, digest FROM pl WHERE digest IS NOT NULL AND split IS NOT NULL GROUP BY digest HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'component_across_splits', false, component FROM pl WHERE component IS NOT NULL AND split IS NOT NULL GROUP BY component HAVING count(DISTINCT split) > 1")
 def l01_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.leakage_rules(table(spark, sf_dir, "provenance"), "id", "split", "source_image_sha256", "near_duplicate_component_id")
-
-
-@query(f"WITH {FIRST} SELECT role, template_id, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(id, '[0-9a-f]{{32}}')) AS opaque, count(*) FILTER (WHERE len(present_class_ids) = 0) AS no_class FROM r GROUP BY role, template_id")
+    return gates.leakage_rules(plain_rows(spark, sf_dir), "id", "split", "digest", "component")
+
+
+_ROLES = ("positive", "semantic_negative", "visual_counterfactual")
+_VISIBLE = f"v AS (SELECT {SQL_ID} AS id, CASE lower(trim(probe_split)) WHEN 'probe_train' THEN 'train' WHEN 'probe_val' THEN 'val' WHEN 'probe_test' THEN 'dev' END AS split FROM feature_rows)"
+_UNEVEN = "SELECT '{0}_uneven', {0}::VARCHAR, 'positive:' || a || ',semantic_negative:' || b || ',visual_counterfactual:' || c FROM (SELECT {0}, count(*) FILTER (WHERE role = 'positive') AS a, count(*) FILTER (WHERE role = 'semantic_negative') AS b, count(*) FILTER (WHERE role = 'visual_counterfactual') AS c FROM pl GROUP BY {0}) WHERE a <> b OR a <> c"
+_SEVERAL = "SELECT '{0}_in_several_splits', {0}, string_agg(DISTINCT split, ',' ORDER BY split) FROM pl WHERE {0} IS NOT NULL AND split IS NOT NULL GROUP BY {0} HAVING count(DISTINCT split) > 1"
+_FREEZE = f"""WITH {PLAIN}, {OUTCOMES}, {_VISIBLE},
+two AS (SELECT coalesce(x.id, y.id) AS id, x.id AS xi, y.id AS yi, x.s AS xs, y.s AS ys FROM (SELECT id, min(split) AS s FROM v GROUP BY id) x FULL JOIN (SELECT id, min(split) AS s FROM pl GROUP BY id) y ON x.id = y.id)
+SELECT 'visible_key' AS rule, 'class_id' AS subject, NULL AS detail
+UNION ALL SELECT 'id_not_opaque', id, NULL FROM v WHERE id IS NULL OR NOT regexp_full_match(id, '[0-9a-f]{{32}}')
+UNION ALL SELECT 'id_repeated_visible', id, count(*)::VARCHAR FROM v WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'id_repeated_private', id, count(*)::VARCHAR FROM pl WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'id_on_one_side', id, CASE WHEN xi IS NULL THEN 'private' ELSE 'visible' END FROM two WHERE xi IS NULL OR yi IS NULL
+UNION ALL SELECT 'split_differs', id, NULL FROM two WHERE xi IS NOT NULL AND yi IS NOT NULL AND xs IS DISTINCT FROM ys
+UNION ALL {_SEVERAL.format('image')} UNION ALL {_SEVERAL.format('digest')} UNION ALL {_SEVERAL.format('component')}
+UNION ALL SELECT 'family_roles', family_id, count(*)::VARCHAR FROM pl WHERE family_id IS NOT NULL GROUP BY family_id HAVING count(*) <> 3 OR count(DISTINCT role) <> 3
+UNION ALL {_UNEVEN.format('template_id')} UNION ALL {_UNEVEN.format('length_bucket')}
+UNION ALL SELECT 'transform', id, transform_id FROM pl WHERE CASE WHEN role = 'visual_counterfactual' THEN NOT coalesce(split = 'dev' AND transform_id IN ('tile_swap', 'blur') OR split IN ('train', 'val') AND transform_id IN ('erase', 'blur'), false) ELSE transform_id IS NOT NULL END
+UNION ALL SELECT 'answer', id, CASE WHEN NOT parsed THEN 'syntax' WHEN NOT schema_ok THEN 'schema' ELSE 'semantic' END FROM o WHERE NOT (parsed AND schema_ok AND semantic)"""
+
+
+@query(_FREEZE)
 def l02_freeze_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_rows(spark, sf_dir).groupBy("role", "template_id").agg(F.count("*").alias("n"), F.count_if(F.col("id").rlike("^[0-9a-f]{32}$")).alias("opaque"), F.count_if(F.size("present_class_ids") == 0).alias("no_class"))
+    """Whatever the tables break of a freeze's rules: one row per violation."""
+    probe = F.lower(F.trim("probe_split"))
+    split = F.when(probe == "probe_train", "train").when(probe == "probe_val", "val").when(probe == "probe_test", "dev")
+    visible = table(spark, sf_dir, "feature_rows").select(spelling.plain_id(F.col("id")).alias("id"), split.alias("split"), "image", "class_id")
+    answers = outcomes(spark, sf_dir).select("id", F.col("parsed").alias("syntax"), "schema_ok", "semantic")
+    return O.freeze_violations(visible, plain_rows(spark, sf_dir), answers, ["id", "image"], list(_ROLES), {"train": ["erase", "blur"], "val": ["erase", "blur"], "dev": ["tile_swap", "blur"]})
 
 
 @query("WITH c AS (SELECT family_id, role || ':' || count(*) AS part FROM provenance WHERE family_id IS NOT NULL GROUP BY family_id, role) SELECT family_id, list(part ORDER BY part) AS parts FROM c GROUP BY family_id HAVING list(part ORDER BY part) <> ['positive:1', 'semantic_negative:1', 'visual_counterfactual:1']")
@@ -265,6 +303,30 @@ def l06_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.decision(_judged(spark, sf_dir))
 
 
+_RUN = """WITH j AS (SELECT id, sha256(coalesce(family_id, '')) AS h FROM manifest),
+a AS (SELECT p.id, coalesce(m.h, sha256('')) AS h, length(p.raw_text)::DOUBLE AS n FROM predictions p LEFT JOIN (SELECT id, sha256(coalesce(min(family_id), '')) AS h FROM manifest GROUP BY id) m USING (id)),
+s AS (SELECT x.id AS xi, y.id AS yi, x.h AS xh, y.h AS yh FROM (SELECT id, min(h) AS h FROM j WHERE id IS NOT NULL GROUP BY id) x FULL JOIN (SELECT id, min(h) AS h FROM a WHERE id IS NOT NULL GROUP BY id) y ON x.id = y.id)
+SELECT 'job_count' AS "check", count(*) = 1000 AS passed, count(*)::DOUBLE AS observed FROM j
+UNION ALL SELECT 'unique_job_ids', count(*) = count(DISTINCT id), (count(*) - count(DISTINCT id))::DOUBLE FROM j
+UNION ALL SELECT 'unique_answer_ids', count(*) = count(DISTINCT id), (count(*) - count(DISTINCT id))::DOUBLE FROM a
+UNION ALL SELECT 'answered', count(*) = 0, count(*)::DOUBLE FROM s WHERE yi IS NULL
+UNION ALL SELECT 'no_foreign_answers', count(*) = 0, count(*)::DOUBLE FROM s WHERE xi IS NULL
+UNION ALL SELECT 'digests_equal', count(*) = 0, count(*)::DOUBLE FROM s WHERE xi IS NOT NULL AND yi IS NOT NULL AND xh IS DISTINCT FROM yh
+UNION ALL SELECT 'finite_n', count(*) = 0, count(*)::DOUBLE FROM a WHERE n IS NULL
+UNION ALL SELECT 'budget', true, 1200.5"""
+
+
+@query(_RUN)
+def l06_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ids, digests, finite numbers and budget of the run that answered the manifest."""
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    m = table(spark, sf_dir, "manifest").select("id", "family_id")
+    jobs = m.select("id", digest(F.col("family_id")).alias("h"))
+    seen = m.groupBy("id").agg(F.min("family_id").alias("family_id"))
+    answers = table(spark, sf_dir, "predictions").join(seen, "id", "left").select("id", digest(F.col("family_id")).alias("h"), F.length("raw_text").cast("double").alias("n"))
+    return O.run_checks(jobs, answers, "id", "h", ["n"], 1000, 1200.5, 1800.0)
+
+
 _REVIEW = "c AS (SELECT doc_id, [CASE WHEN lang IS NULL OR lang = '' THEN 'FAIL' ELSE 'PASS' END, CASE WHEN text IS NULL THEN NULL WHEN length(text) < 10 THEN 'FAIL' ELSE 'PASS' END, CASE WHEN source IS NULL THEN 'OPEN' ELSE 'PASS' END] AS x FROM documents)"
 
 
@@ -296,8 +358,16 @@ def l13_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.aligned_views(first_rows(spark, sf_dir).withColumn("label", F.col("role")), "id", "label", {"template": F.col("template_id"), "class": F.col("query_class_id").cast("string"), "transform": F.col("transform_id")})
 
 
-@query(f"WITH {OUTCOMES} SELECT m.source, count(*) AS n, count(*) FILTER (WHERE g.id IS NULL) AS unanswered FROM (SELECT DISTINCT id, role AS source FROM manifest) m LEFT JOIN (SELECT DISTINCT id FROM o) g USING (id) GROUP BY m.source")
+_CROPS = f"WITH {PLAIN}, k AS (SELECT id, min(query_class_id) AS place, min(CASE role WHEN 'positive' THEN 'identity_full_frame' WHEN 'visual_counterfactual' THEN 'effective_crop' ELSE role END) AS crop_mode, min(digest) AS source_sha256, min(derived_image_sha256) AS crop_sha256 FROM pl WHERE id IS NOT NULL GROUP BY id), c AS (SELECT *, CASE WHEN crop_mode = 'identity_full_frame' THEN source_sha256 WHEN place % 7 = 0 THEN 'changed' ELSE crop_sha256 END AS local_sha256 FROM k), s AS (SELECT id, CASE WHEN min(query_class_id) % 11 = 0 THEN 'drifted' ELSE min(digest) END AS full_sha256 FROM pl WHERE id IS NOT NULL AND split <> 'excluded' GROUP BY id), g AS (SELECT c.*, s.full_sha256, CASE WHEN s.id IS NULL THEN 'missing_source' WHEN full_sha256 IS DISTINCT FROM source_sha256 THEN 'source_drift' WHEN crop_mode = 'identity_full_frame' AND local_sha256 IS DISTINCT FROM full_sha256 THEN 'identity_changed' WHEN crop_mode = 'effective_crop' AND local_sha256 IS DISTINCT FROM crop_sha256 THEN 'crop_drift' WHEN coalesce(crop_mode NOT IN ('identity_full_frame', 'effective_crop'), true) THEN 'unknown_mode' END AS broken FROM c LEFT JOIN s USING (id))"
+
+
+@query(f"{_CROPS} SELECT id, place AS pair_index, 'full' AS input_condition, full_sha256 AS view_sha256, NULL AS broken FROM g WHERE broken IS NULL UNION ALL SELECT id, place, 'local', local_sha256, NULL FROM g WHERE broken IS NULL UNION ALL SELECT id, NULL, NULL, NULL, broken FROM g WHERE broken IS NOT NULL")
 def d04_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = latest_answers(spark, sf_dir).select("id").distinct().withColumn("has", F.lit(True))
-    m = table(spark, sf_dir, "manifest").select("id", F.col("role").alias("source")).distinct()
-    return m.join(answered, "id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("has").isNull()).alias("unanswered"))
+    """Crops aligned with their sources as full and local views under one index; broken ones with what broke."""
+    r = plain_rows(spark, sf_dir).filter("id IS NOT NULL")
+    mode = F.when(F.col("role") == "positive", "identity_full_frame").when(F.col("role") == "visual_counterfactual", "effective_crop").otherwise(F.col("role"))
+    k = r.groupBy("id").agg(F.min("query_class_id").alias("place"), F.min(mode).alias("crop_mode"), F.min("digest").alias("source_sha256"), F.min("derived_image_sha256").alias("crop_sha256"))
+    crops = k.withColumn("local_sha256", F.when(F.col("crop_mode") == "identity_full_frame", F.col("source_sha256")).when(F.col("place") % 7 == 0, "changed").otherwise(F.col("crop_sha256")))
+    sources = r.filter("split <> 'excluded'").groupBy("id").agg(F.when(F.min("query_class_id") % 11 == 0, "drifted").otherwise(F.min("digest")).alias("full_sha256"))
+    full, local, broken = O.aligned_pairs(crops, sources, "id")
+    return full.unionByName(local).unionByName(broken, allowMissingColumns=True).select("id", "pair_index", "input_condition", "view_sha256", "broken")
\ No newline at end of file

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, hashing, json_contract, stats, text
+from ..operators import outcomes as O
 from ..session import table
 from .base import ANSWERS, FIRST, MANIFEST, OUTCOMES, first_rows, latest_answers, manifest_rows, outcomes, rounded
 from .registry import query
@@ -198,6 +199,20 @@ def h26_pointing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(spark, sf_dir).select("id", geometry.centre_inside(F.col("region"), F.col("gt_bbox")).alias("pointed"))
 
 
+_FLAGGED = f"""{OUTCOMES},
+x AS (SELECT *, coalesce(role = 'positive', false) AS positive, coalesce(condition = 'semantic_null', false) AS wrong, coalesce(schema_ok, false) AS valid FROM o),
+y AS (SELECT *, valid AND coalesce(evidence_present, false) AS present, CASE WHEN valid THEN region END AS box, CASE WHEN valid THEN pest_id END AS pest, CASE WHEN valid THEN json_array_length(raw_text, '$.visible_attributes') END AS attributes FROM x),
+z AS (SELECT *, coalesce(len(box) = 4 AND box[3] > box[1] AND box[4] > box[2], false) AS boxed, coalesce(CASE WHEN valid AND {_BOTH} THEN {_IOU} / ((region[3] - region[1]) * (region[4] - region[2]) + (gt_bbox[3] - gt_bbox[1]) * (gt_bbox[4] - gt_bbox[2]) - {_IOU}) ELSE 0.0 END, 0.0) AS overlap, valid AND NOT present AND box IS NULL AND pest IS NULL AND coalesce(status <> 'supported', false) AND coalesce(reliability = 'insufficient_visual_evidence', false) AS refusal FROM y),
+q AS (SELECT *, positive AND coalesce(pest = query_class_id, false) AS correct, NOT positive AND wrong AND coalesce(pest = query_class_id, false) AS echo, (present AND boxed AND pest IS NOT NULL) OR (refusal AND coalesce(attributes = 0, false)) AS consistent FROM z)"""
+
+
+@query(f"""WITH {_FLAGGED} SELECT id, positive, valid AS schema_valid, correct AS diagnosis_correct, valid AND present = positive AS presence_correct, NOT positive AND refusal AS refusal_correct, correct AND present AND overlap >= 0.5 AS supported, echo AS wrong_query_echo, consistent AS internally_consistent, consistent AND NOT echo AS prompt_compliant, present AS predicted_present, pest IS NOT NULL AS specific_diagnosis, box IS NOT NULL AS predicted_box, NOT positive AND present AS false_localization, NOT positive AND NOT refusal AS ebh, pest AS diagnosis_id, CASE WHEN positive THEN query_class_id END AS truth_diagnosis_id, CASE WHEN positive THEN round(overlap, 6) END AS iou, CASE WHEN positive THEN coalesce(valid AND {_BOTH} AND (region[1] + region[3]) / 2 BETWEEN gt_bbox[1] AND gt_bbox[3] AND (region[2] + region[4]) / 2 BETWEEN gt_bbox[2] AND gt_bbox[4], false) END AS pointing FROM q""")
+def h24_outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flags of every answered question."""
+    flagged = O.outcome_flags(outcomes(spark, sf_dir), F.col("role") == "positive", F.col("condition") == "semantic_null")
+    return rounded(flagged.select("id", *O.FLAGS, "diagnosis_id", "truth_diagnosis_id", "iou", "pointing"), "iou")
+
+
 @query(f"WITH {MANIFEST} SELECT id, [round(gt_bbox[1] * 0.64, 6), round(gt_bbox[2] * 0.48, 6), round(gt_bbox[3] * 0.64, 6), round(gt_bbox[4] * 0.48, 6)] AS pixels FROM m WHERE gt_bbox IS NOT NULL")
 def h27_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_rows(spark, sf_dir).filter("gt_bbox IS NOT NULL").select("id", F.transform(geometry.scaled(F.col("gt_bbox"), 0.64, 0.48), lambda v: F.round(v, 6)).alias("pixels"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import select as S
 from ..session import table
-from .base import FIRST, OUTCOMES, first_rows, outcomes, rounded
+from .base import FIRST, OUTCOMES, PLAIN, first_rows, outcomes, plain_rows, rounded
 from .registry import query
 
 _RANK = "row_number() OVER (PARTITION BY {0} ORDER BY sha256('{1}/' || {2}), {2})"
@@ -35,9 +35,9 @@ def f04_split_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_fill(ranked, "hash_rank", [("train", 12), ("val", 3), ("dev", 5)])
 
 
-@query("WITH c AS (SELECT near_duplicate_component_id AS component, min(query_class_id) AS class_id, bool_or(lower(trim(split)) = 'excluded') AS excluded FROM provenance WHERE near_duplicate_component_id IS NOT NULL GROUP BY near_duplicate_component_id), k AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY sha256('mod/' || component), component) AS hash_rank FROM c) SELECT component, class_id, CASE WHEN coalesce(excluded, false) THEN 'excluded' WHEN (hash_rank - 1) % 10 = 0 THEN 'dev' WHEN (hash_rank - 1) % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM k")
+@query(f"WITH {PLAIN}, c AS (SELECT component, min(query_class_id) AS class_id, bool_or(split = 'excluded') AS excluded FROM pl WHERE component IS NOT NULL GROUP BY component), k AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY sha256('mod/' || component), component) AS hash_rank FROM c) SELECT component, class_id, CASE WHEN coalesce(excluded, false) THEN 'excluded' WHEN (hash_rank - 1) % 10 = 0 THEN 'dev' WHEN (hash_rank - 1) % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM k")
 def f05_modulo_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "provenance").filter("near_duplicate_component_id IS NOT NULL").groupBy(F.col("near_duplicate_component_id").alias("component")).agg(F.min("query_class_id").alias("class_id"), F.coalesce(F.bool_or(F.lower(F.trim("split")) == "excluded"), F.lit(False)).alias("excluded"))
+    c = plain_rows(spark, sf_dir).filter("component IS NOT NULL").groupBy("component").agg(F.min("query_class_id").alias("class_id"), F.coalesce(F.bool_or(F.col("split") == "excluded"), F.lit(False)).alias("excluded"))
     return S.modulo_split(S.hash_rank(c, "component", ["class_id"], "mod"), "hash_rank", F.col("excluded")).select("component", "class_id", "split")
 
 
@@ -94,6 +94,27 @@ def f14_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cyclic_schedule(pool, ["class_id"], 1000, ("positive", "semantic_negative", "visual_counterfactual")).select("step", "schedule_role", "class_id")
 
 
+_QUOTAS = {"head": 2, "medium": 1, "tail": 1}
+_PASSES = f"""WITH {PLAIN}, x AS (SELECT id, min(family_id) AS family_id, min(role) AS role, min(query_class_id) AS q FROM pl WHERE split = 'train' AND id IS NOT NULL AND family_id IS NOT NULL GROUP BY id),
+u AS (SELECT x.id, x.family_id, x.role, y.c, band FROM x JOIN (SELECT family_id, min(q) AS c FROM x WHERE role = 'positive' GROUP BY family_id) y USING (family_id) JOIN class_catalog ON class_id = y.c),
+w AS (SELECT c, band, family_id FROM u GROUP BY c, band, family_id HAVING count(DISTINCT role) = 3),
+k AS (SELECT c, row_number() OVER (PARTITION BY band ORDER BY sha256('class-' || band || '/' || c), c) AS n, band FROM (SELECT c, band FROM w GROUP BY c, band HAVING count(*) >= 2)),
+p AS (SELECT c FROM k WHERE n <= CASE band WHEN 'head' THEN 2 ELSE 1 END),
+f AS (SELECT family_id FROM (SELECT family_id, row_number() OVER (PARTITION BY c ORDER BY sha256('family/' || family_id), family_id) AS n FROM w WHERE c IN (SELECT c FROM p)) WHERE n <= 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY sha256('exposure/' || id), id) - 1 AS i, count(*) OVER (PARTITION BY role) AS n FROM u WHERE family_id IN (SELECT family_id FROM f)),
+s AS (SELECT step, ['positive', 'semantic_negative', 'visual_counterfactual'][step % 3 + 1] AS role, step // 3 AS turn FROM (SELECT unnest(range(512)) AS step))
+SELECT s.step, s.role AS schedule_role, l.id, l.family_id, l.c, l.band, substr(sha256('exposure|' || s.step || '|' || l.id), 1, 32) AS exposure_id FROM s JOIN l ON l.role = s.role AND l.i = s.turn % l.n"""
+
+
+@query(_PASSES)
+def f14_class_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole families of a quota of classes per band, passed through role by role to 512 exposures."""
+    bands = table(spark, sf_dir, "class_catalog").select(F.col("class_id").alias("query_class_id"), "band")
+    rows = plain_rows(spark, sf_dir).filter("split = 'train' AND id IS NOT NULL AND family_id IS NOT NULL").groupBy("id").agg(F.min("family_id").alias("family_id"), F.min("role").alias("role"), F.min("query_class_id").alias("q"))
+    of_family = rows.filter("role = 'positive'").groupBy("family_id").agg(F.min("q").alias("query_class_id")).join(bands, "query_class_id").select("family_id", F.col("query_class_id").alias("c"), "band")
+    return S.class_quota_schedule(rows.drop("q").join(of_family, "family_id"), "family_id", "c", "band", "role", "id", _QUOTAS, 2, ("positive", "semantic_negative", "visual_counterfactual"), 512, strict=False)
+
+
 @query()
 def f15_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.python_random_sample(table(spark, sf_dir, "feature_rows").filter("class_id IS NOT NULL"), "class_id", "id", 5, 17)

@@ -160,11 +160,11 @@ def k09_example_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.example_mean_loss(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", F.col("l_returnflag") != "R"), "batch_loss", places=4)
 
 
-@query("SELECT p_partkey, list_transform(range(4), lambda i: CASE WHEN i * 5 < 7 AND 3 < i * 5 + 5 THEN 'head' WHEN i * 5 < 12 AND 8 < i * 5 + 5 THEN 'tail' ELSE 'other' END) AS groups FROM part")
+@query("SELECT p_partkey, list_transform(range(p_size % 5 + 2), lambda i: CASE WHEN i * 5 < p_size % 9 + 7 AND p_size % 9 + 3 < i * 5 + 5 THEN 'head' WHEN i * 5 < p_size % 9 + 12 AND p_size % 9 + 8 < i * 5 + 5 THEN 'tail' ELSE 'other' END) AS groups FROM part")
 def k10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((i * 5).alias("start"), (i * 5 + 5).alias("end")))
-    spans = F.array(F.struct(F.lit("head").alias("name"), F.lit(3).alias("start"), F.lit(7).alias("end")), F.struct(F.lit("tail").alias("name"), F.lit(8).alias("start"), F.lit(12).alias("end")))
-    return table(spark, sf_dir, "part").select("p_partkey", P.token_groups(offsets, spans).alias("groups"))
+    offsets = F.transform(F.sequence(F.lit(0), F.col("p_size") % 5 + 1), lambda i: F.struct((i * 5).alias("start"), (i * 5 + 5).alias("end")))
+    span = lambda name, a, b: F.struct(F.lit(name).alias("name"), (F.col("p_size") % 9 + a).alias("start"), (F.col("p_size") % 9 + b).alias("end"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.token_groups(offsets, F.array(span("head", 3, 7), span("tail", 8, 12))).alias("groups"))
 
 
 def _echo(prompts: list[str]) -> list[str]:

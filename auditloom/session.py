@@ -32,10 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, or a temporary one where none is set."""
+    """The folder that all executors share: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a session that runs in this one process (a ``local`` master, as in tests)
+    gets a temporary folder where none is named; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -43,8 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, shared by
-    all executors, so a lost executor loses nothing. Only where no folder is set
-    (tests in one process) a temporary one is used. The result's plan carries neither
+    all executors, so a lost executor loses nothing (see ``shared_folder``). The result's plan carries neither
     the constraints nor the statistics of the plan that made it: in loops these grow
     with every round until planning takes longer than the work.
     """

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import os
+import re
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Bytes of archive members that are handed on at once.
+MEMBER_BYTES = 32 << 20
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object per non-blank line; malformed lines give nulls. ``_file`` names the file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
@@ -80,12 +89,62 @@ def list_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jp
     return files.filter(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$")).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def image_fault(data: bytes) -> str | None:
+    """Why an image file cannot be read whole, or None: its container is walked from end to end.
+
+    PNG: every chunk's check sum, and the pixel stream is inflated to the size the
+    header tells. JPEG: the markers up to the end of the image. BMP and WebP: the sizes
+    their headers tell.
+    """
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at, pixels, head = 8, zlib.decompressobj(), None
+        size = 0
+        while at + 12 <= len(data):
+            n, kind = struct.unpack_from(">I4s", data, at)
+            body = data[at + 8 : at + 8 + n]
+            if len(body) < n or at + 12 + n > len(data) or struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(kind + body):
+                return "chunk"
+            if kind == b"IHDR" and n == 13:
+                head = struct.unpack(">IIBBBBB", body)
+            elif kind == b"IDAT":
+                try:
+                    size += len(pixels.decompress(body))
+                except zlib.error:
+                    return "pixels"
+            elif kind == b"IEND":
+                if head is None:
+                    return "header"
+                width, height, depth, colour, _, _, interlaced = head
+                row = (width * depth * {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0) + 7) // 8 + 1
+                return None if size == row * height or interlaced and size > 0 else "pixels"
+            at += 12 + n
+        return "end"
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data):
+            if data[at] != 0xFF:
+                return "marker"
+            kind = data[at + 1]
+            if kind == 0xDA:  # the scan lasts to the end marker
+                return None if data.rstrip(b"\x00").endswith(b"\xff\xd9") else "end"
+            at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        return "end"
+    if data[:2] == b"BM" and len(data) >= 26:
+        return None if struct.unpack_from("<I", data, 2)[0] == len(data) else "size"
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return None if struct.unpack_from("<I", data, 4)[0] + 8 <= len(data) else "size"
+    return "type"
+
+
 def hashed_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256, readable): readable where the first bytes are those of a known image type."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.hex(F.substring("content", 1, 4))
-    known = head.startswith("FFD8FF") | (head == "89504E47") | head.startswith("424D") | (head == "52494646")
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), known.alias("readable"))
+    """(path, length, sha256, fault, readable) of the files below a folder; see ``image_fault``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "sha256": [hashlib.sha256(c).hexdigest() for c in pdf["content"]], "fault": [image_fault(c) for c in pdf["content"]]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    return files.mapInPandas(run, "path string, length long, sha256 string, fault string").withColumn("readable", F.col("fault").isNull())
 
 
 def read_frozen_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -131,14 +190,14 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
             rows = [(f, *one(t)) for f, t in zip(pdf["_file"], pdf["value"])]
             yield pd.DataFrame(rows, columns=["file", "image", "width", "height", "repaired", "error", "objects"]).astype({"width": "Int32", "height": "Int32"})
 
-    raw = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     return raw.mapInPandas(run, "file string, image string, width int, height int, repaired boolean, error string, objects array<struct<name: string, box: array<int>>>")
 
 
 def annotated_objects(annotations: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid objects with class_id and area, dropped counts by reason): unknown classes and boxes outside the frame are dropped."""
     each = annotations.select("file", "image", "width", "height", F.explode("objects").alias("o")).select("file", "image", "width", "height", F.col("o.name").alias("class_name"), F.col("o.box").alias("box"))
-    known = each.join(F.broadcast(classes.select("class_name", "class_id").limit(100_000)), "class_name", "left")
+    known = each.join(classes.select("class_name", "class_id").dropDuplicates(["class_name"]), "class_name", "left")
     b = F.col("box")
     reason = F.when(F.col("class_id").isNull(), "unknown_class").when(b.isNull() | (F.get(b, F.lit(2)) <= F.get(b, F.lit(0))) | (F.get(b, F.lit(3)) <= F.get(b, F.lit(1))), "degenerate").when((b[0] < 0) | (b[1] < 0) | (b[2] > F.col("width")) | (b[3] > F.col("height")), "outside")
     marked = known.withColumn("dropped_as", reason).withColumn("area", (b[2] - b[0]) * (b[3] - b[1]))
@@ -163,12 +222,17 @@ def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ..
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for archive, data in zip(pdf["path"], pdf["content"]):
-                rows = []
+                rows, held = [], 0
+                table = lambda rows: pd.DataFrame(rows, columns=["archive", "member", "stem", "place", "content"]).astype({"place": "int32"})
                 for place, (name, content) in enumerate(members(archive, data)):
                     safe = not name.startswith("/") and ".." not in name.split("/")
                     if safe and (not suffixes or name.lower().endswith(tuple(suffixes))):
                         rows.append((archive, name, name.rsplit("/", 1)[-1].rsplit(".", 1)[0], place, content))
-                yield pd.DataFrame(rows, columns=["archive", "member", "stem", "place", "content"]).astype({"place": "int32"})
+                        held += len(content)
+                    if held >= MEMBER_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+                yield table(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, stem string, place int, content binary")
 
@@ -257,6 +321,11 @@ def http_range(url: str, first: int, last: int) -> bytes:
         return r.read()
 
 
+def local_path(path: str) -> str:
+    """The path without a ``file`` scheme, for Python readers of a mounted folder."""
+    return re.sub(r"^file:/*(?=/)", "", path)
+
+
 def file_range(url: str, first: int, last: int) -> bytes:
     """Fetcher for files on a shared disk, and for tests."""
     with open(url, "rb") as f:
@@ -264,6 +333,53 @@ def file_range(url: str, first: int, last: int) -> bytes:
         return f.read(last - first + 1)
 
 
-def tree_listing(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
-    """(path, sha, kind) rows of a pinned source tree that a caller listed."""
-    return spark.createDataFrame(entries, "path string, sha string, kind string")
+def git_object(repository: str, sha: str) -> tuple[str, bytes]:
+    """(type, body) of a loose object of a Git repository; its digest is checked."""
+    with open(f"{repository}/objects/{sha[:2]}/{sha[2:]}", "rb") as f:
+        data = zlib.decompress(f.read())
+    if hashlib.sha1(data).hexdigest() != sha:
+        raise ValueError(f"object {sha} is damaged")
+    head, body = data.split(b"\0", 1)
+    return head.split()[0].decode(), body
+
+
+def git_tree(repository: str, commit: str) -> Iterator[tuple[str, str, str]]:
+    """(path, sha, type) of everything below a commit's tree, in the tree's order."""
+    kind, body = git_object(repository, commit)
+    if kind != "commit":
+        raise ValueError(f"{commit} is a {kind}")
+    todo = [("", body.split(b"\n", 1)[0].split()[1].decode())]
+    while todo:
+        place, sha = todo.pop()
+        body, at, below = git_object(repository, sha)[1], 0, []
+        while at < len(body):
+            end = body.index(b"\0", at)
+            mode, name = body[at:end].split(b" ", 1)
+            entry, at = body[end + 1 : end + 21].hex(), end + 21
+            path = f"{place}{name.decode()}"
+            yield path, entry, "tree" if mode.lstrip(b"0") == b"40000" else "commit" if mode == b"160000" else "blob"
+            if mode.lstrip(b"0") == b"40000":
+                below.append((f"{path}/", entry))
+        todo += reversed(below)
+
+
+def tree_listing(spark: SparkSession, repository: str, commit: str, below: str = "") -> DataFrame:
+    """(path, sha, kind) of a repository's tree at a pinned commit, below a folder of it; read by one task in small batches.
+
+    The repository is a folder that the executors share, with loose objects (unpack it first).
+    """
+    place = os.path.normpath(repository)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sha in pdf["commit"]:
+                rows = []
+                for entry in git_tree(place, sha):
+                    if entry[0].startswith(below):
+                        rows.append(entry)
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "sha", "kind"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "sha", "kind"])
+
+    return spark.createDataFrame([(commit,)], "commit string").mapInPandas(run, "path string, sha string, kind string")

@@ -51,6 +51,14 @@ def write_report(spark: SparkSession, path: str, report: dict, create_only: bool
         raise OSError(f"could not place {path}")
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(name, sha256) of the visible files below a directory, named relative to it."""
     fs, p = _fs(spark, path)
@@ -129,8 +137,8 @@ def finalize(source: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
 
 
 def write_review_sheet(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A CSV with the given header for human review."""
-    df.select(*[F.col(c).cast("string") for c in columns]).coalesce(1).write.mode("errorifexists").option("header", "true").csv(path)
+    """CSV files, each with the given header, for human review; as many as ``df`` has partitions."""
+    df.select(*[F.col(c).cast("string") for c in columns]).write.mode("errorifexists").option("header", "true").csv(path)
 
 
 def write_review_page(df: DataFrame, path: str, columns: list[str], title: str) -> None:

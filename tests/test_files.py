@@ -37,13 +37,14 @@ def test_lists_and_csv(spark, tmp_path):
         files.read_frozen_csv(spark, str(tmp_path / "r.csv"), ["notes", "audit_id"])
 
 
+BITMAP = b"BM" + (30).to_bytes(4, "little") + bytes(24)
 XML = "<annotation><filename>a.jpg</filename><size><width>100</width><height>80</height></size><object><name>aphid</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>30</xmax><ymax>40</ymax></bndbox></object><object><name>aphid</name><bndbox><xmin>9</xmin><ymin>2</ymin><xmax>3</xmax><ymax>40</ymax></bndbox></object><object><name>moth</name></object></annotation>"
 
 
 def test_annotations(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/a.xml").write_text(XML)
-    (tmp_path / "x/b.xml").write_text(XML + XML)
+    (tmp_path / "x/b.xml").write_text((XML + XML).replace("><", ">\n<"))
     (tmp_path / "x/c.xml").write_text("<annotation>")
     a = files.read_annotations(spark, str(tmp_path / "x"))
     got = {r["file"][-5]: (r["repaired"], r["error"] is None, len(r["objects"])) for r in a.collect()}
@@ -64,11 +65,11 @@ def test_archives_images_and_ranges(spark, tmp_path):
     m = files.read_archive_members(spark, str(tmp_path), (".jpg",))
     assert {(r["stem"], bytes(r["content"])) for r in files.last_per_stem(m).collect()} == {("one", b"1"), ("two", b"new!")}
     (tmp_path / "i").mkdir()
-    (tmp_path / "i/p.PNG").write_bytes(b"\x89PNG....")
+    (tmp_path / "i/p.PNG").write_bytes(BITMAP)
     (tmp_path / "i/q.txt").write_bytes(b"text")
     assert files.list_images(spark, str(tmp_path / "i")).count() == 1
     assert sorted(r["readable"] for r in files.hashed_files(spark, str(tmp_path / "i")).collect()) == [False, True]
-    manifest = spark.createDataFrame([("p.PNG", 8, "0"), ("q.txt", 5, "0"), ("z", 1, "0")], "name string, size int, sha256 string")
+    manifest = spark.createDataFrame([("p.PNG", len(BITMAP), "0"), ("q.txt", 5, "0"), ("z", 1, "0")], "name string, size int, sha256 string")
     assert {r["name"]: r["state"] for r in files.arrivals(spark, str(tmp_path / "i"), manifest).collect()} == {"p.PNG": "digest", "q.txt": "size", "z": "missing"}
     (tmp_path / "big").write_bytes(bytes(range(256)) * 10)
     spark.dataSource.register(files.ByteRanges)
@@ -76,6 +77,44 @@ def test_archives_images_and_ranges(spark, tmp_path):
     assert b"".join(bytes(r["content"]) for r in parts.orderBy("offset").collect()) == bytes(range(256)) * 10
 
 
+def test_image_faults():
+    from auditloom.plans.file_queries import _png
+
+    png = _png()
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02data\xff\xd9"
+    webp = b"RIFF" + (8).to_bytes(4, "little") + b"WEBPdata"
+    assert [files.image_fault(x) for x in (png, jpeg, BITMAP, webp)] == [None] * 4
+    assert [files.image_fault(x) for x in (png[:-1], jpeg[:-2], BITMAP + b"x", webp[:-1], b"", b"text", png[:40] + b"\0" + png[41:], b"\xff\xd8\x00\x00\x00\x00")] == ["end", "end", "size", "size", "type", "type", "chunk", "marker"]
+
+
+def test_members_come_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(7):
+            z.writestr(f"{i}.txt", bytes([65 + i]) * 10)
+        z.writestr("0/deep.bin", b"")
+    monkeypatch.setattr(files, "MEMBER_BYTES", 15)
+    got = files.read_archive_members(spark, str(tmp_path)).collect()
+    assert [(r["member"], r["place"]) for r in got] == [(f"{i}.txt", i) for i in range(7)] + [("0/deep.bin", 7)]
+
+
+def test_more_classes_than_any_bound(spark):
+    n = 120_000
+    a = spark.createDataFrame([("f", "i", 100, 100, [(f"c{n - 1}", [1, 1, 9, 9])])], "file string, image string, width int, height int, objects array<struct<name: string, box: array<int>>>")
+    classes = spark.range(n).selectExpr("concat('c', id) AS class_name", "cast(id AS int) AS class_id")
+    assert [r["class_id"] for r in files.annotated_objects(a, classes)[0].collect()] == [n - 1]
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from auditloom.session import shared_folder
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), master="spark://head:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_blind_sets(spark):
     good = spark.createDataFrame([("IP000000001", "a" * 64)] * 2, "source_image_id string, source_image_sha256 string")
     assert [x.count() for x in files.blind_sets(good)] == [1, 1]
