@@ -10,12 +10,10 @@ average, whatever the graph and however its rows lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import forests
 from ..session import checkpoint
 from .ids import plain_component, plain_image
 
@@ -27,39 +25,6 @@ EDGES_PER_PARTITION = 400_000
 MOST_LEVELS = 100
 
 
-def _forests(limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            root = x
-            while (up := parent[root]) != root:
-                root = up
-            while (up := parent[x]) != root:
-                parent[x], x = root, up
-            return root
-
-        def forest() -> pd.DataFrame:
-            return pd.DataFrame({"node": list(parent), "root": [find(x) for x in parent]})
-
-        for pdf in batches:
-            for a, b in pdf.drop_duplicates().itertuples(index=False):
-                parent.setdefault(a, a)
-                parent.setdefault(b, b)
-                x, y = find(a), find(b)
-                if x < y:
-                    parent[y] = x
-                elif y < x:
-                    parent[x] = y
-            if len(parent) >= limit:
-                yield forest()
-                parent.clear()
-        if parent:
-            yield forest()
-
-    return run
-
-
 def union_find_groups(edges: DataFrame, nodes_per_forest: int = NODES_PER_FOREST, edges_per_partition: int = EDGES_PER_PARTITION) -> DataFrame:
     """Connected components: one row (node, root) per node of ``edges`` (a, b strings); root is the least node.
 
@@ -68,14 +33,14 @@ def union_find_groups(edges: DataFrame, nodes_per_forest: int = NODES_PER_FOREST
     forest of a node that ties a third of all rows is one row per partition and node.
     """
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    star = _forests(nodes_per_forest)
+    star = forests(nodes_per_forest)
     schema = "node string, root string"
     levels: list[DataFrame] = []
     for salt in range(MOST_LEVELS + 1):
         forest = checkpoint(e.mapInPandas(star, schema))
         size = forest.count()
         if size <= edges_per_partition and (size <= nodes_per_forest or not levels) or salt == MOST_LEVELS:
-            last = checkpoint(forest.coalesce(1).mapInPandas(_forests(2**62), schema))
+            last = checkpoint(forest.coalesce(1).mapInPandas(forests(2**62), schema))
             break
         # each node to the least root of its trees; the roots that met in a node are the next level's edges
         node = forest.repartition(max(1, -(-size // edges_per_partition)), "node").groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots"))
