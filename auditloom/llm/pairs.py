@@ -327,8 +327,9 @@ def pair_defects(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
     question leaves its answers out, and so does a missing manifest row. Repeated
     deliveries give one row per distinct text and source. Empty tables give no rows.
     """
-    blank = F.regexp_replace(message_text("user"), r"[\s\x{a0}\x{3000}\x{200b}]+", "") == ""
-    asked = manifest.select(plain_id(F.col("id")).alias("id"), message_text("user").alias("question"), message_text("system").alias("system"), blank.alias("blank")).filter("id IS NOT NULL AND NOT blank").groupBy("id").agg(F.max(F.struct("question", "system")).alias("q")).select("id", "q.question", "q.system")
+    # the generator keeps the texts from being taken from the messages anew by each expression that reads them
+    texts = F.explode(F.array(F.struct(message_text("user").alias("question"), message_text("system").alias("system"))))
+    asked = manifest.filter("id IS NOT NULL").select(plain_id(F.col("id")).alias("id"), texts.alias("q")).filter(F.col("id").isNotNull() & F.col("q.question").rlike(r"[^\s\x{a0}\x{3000}\x{200b}]")).groupBy("id").agg(F.max("q").alias("q")).select("id", "q.question", "q.system")
     answers = checkpoint(predictions.select(plain_id(F.col("id")).alias("id"), "attempt", "source", "raw_text").filter("id IS NOT NULL").distinct())
     hot = hot_keys(answers.groupBy("id").agg(F.count("*").alias("n")), "id", "n", answers.count())
     cut = cut_answers(predictions).select(plain_id(F.col("id")).alias("id"), F.coalesce("attempt", F.lit(-1)).alias("_attempt"), F.lit(True).alias("cut")).distinct()
