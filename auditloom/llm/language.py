@@ -37,20 +37,25 @@ LEAST_LETTERS = 8
 
 
 @lru_cache(1)
-def _weights() -> dict[str, float]:
-    """A stopword's vote, shared among the languages that have it."""
-    seen = Counter(w for stop in STOPWORDS.values() for w in stop)
-    return {w: 1.0 / n for w, n in seen.items()}
+def _votes() -> dict[str, tuple[tuple[str, ...], float]]:
+    """The languages that have a stopword, and its vote, which they share."""
+    langs: dict[str, tuple[str, ...]] = {}
+    for lang, stop in STOPWORDS.items():
+        for w in stop:
+            langs[w] = (*langs.get(w, ()), lang)
+    return {w: (found, 1.0 / len(found)) for w, found in langs.items()}
 
 
 @lru_cache(1)
-def _model() -> tuple[dict[str, dict[str, float]], dict[str, float]]:
+def _model() -> tuple[dict[str, list[tuple[str, float]]], dict[str, float]]:
+    """(what a trigram adds to the log likelihood of the languages that have it, what any trigram adds to each)."""
     table, unseen = {}, {}
     for lang, text in SAMPLES.items():
         grams = Counter(g for w in _WORD.findall(text.lower()) for g in _grams(w))
         total = sum(grams.values()) + 2000
-        table[lang] = {g: math.log((n + 0.2) / total) for g, n in grams.items()}
         unseen[lang] = math.log(0.2 / total)
+        for g, n in grams.items():
+            table.setdefault(g, []).append((lang, math.log((n + 0.2) / total) - unseen[lang]))
     return table, unseen
 
 
@@ -65,22 +70,32 @@ MARGIN, MARGIN_OF_ONE = 3.0, 6.0
 
 def vote(text: str) -> str | None:
     """The language of ``text`` (en, es, de, fr, pt, zh, or ``xx`` for another script), or None where the votes decide nothing."""
-    han, words = len(_CJK.findall(text)), [w for w in _WORD.findall(text.lower()) if not _CJK.search(w)]
-    if _KANA_HANGUL.search(text):
-        return "xx"
+    if text.isascii():
+        han, words = 0, _WORD.findall(text.lower())
+    else:
+        han, words = len(_CJK.findall(text)), [w for w in _WORD.findall(text.lower()) if not _CJK.search(w)]
+        if _KANA_HANGUL.search(text):
+            return "xx"
     letters = sum(map(len, words))
     if han and han * 2 >= letters:
         return "zh"
     if not words:
         return None
-    weight = _weights()
-    votes = Counter({lang: sum(weight[w] for w in words if w in stop) for lang, stop in STOPWORDS.items()})
-    (first, n), (_, m) = votes.most_common(2)
+    shared, votes = _votes(), dict.fromkeys(STOPWORDS, 0.0)
+    for w in words:
+        if (hit := shared.get(w)) is not None:
+            for lang in hit[0]:
+                votes[lang] += hit[1]
+    (first, n), (_, m) = sorted(votes.items(), key=lambda x: -x[1])[:2]
     if n >= 1 and n >= 1.5 * m and n * 8 >= len(words):
         return first
     if letters < LEAST_LETTERS:
         return None
     table, unseen = _model()
-    score = {lang: sum(grams.get(g, unseen[lang]) for w in words for g in _grams(w)) + 3.0 * votes[lang] for lang, grams in table.items()}
+    grams = [g for w in words for g in _grams(w)]
+    score = {lang: len(grams) * unseen[lang] + 3.0 * votes[lang] for lang in STOPWORDS}
+    for g in grams:
+        for lang, gain in table.get(g, ()):
+            score[lang] += gain
     best, second = sorted(score.items(), key=lambda x: -x[1])[:2]
     return best[0] if best[1] - second[1] >= (MARGIN if len(words) > 1 else MARGIN_OF_ONE) else None

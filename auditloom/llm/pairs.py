@@ -163,10 +163,15 @@ class Kept:
 _automaton = Kept(SuffixAutomaton, AUTOMATON_CHARS)
 
 
+@lru_cache(1024)
+def _name_pattern(name: str) -> re.Pattern:
+    return re.compile(r"\s+".join(map(re.escape, name.split())))
+
+
 def _flat(text: str, name: str) -> str:
     text = text.casefold()
     if name:
-        text = re.sub(r"\s+".join(map(re.escape, name.split())), "§", text)
+        text = _name_pattern(name).sub("§", text)
     return " ".join(_WORD.findall(text))
 
 
@@ -228,6 +233,8 @@ def is_empty(text: str | None) -> bool:
     """Nothing but blanks, marks, markup, keys and empty values."""
     if text is None:
         return True
+    if text[:1].isalpha() and text[:40].isascii() and len(text.split(None, 4)) > 4 and not any(c in text for c in "{[(<`\\"):
+        return False  # running text
     if _FILLED.search(text):
         return False
     core = _MARKUP.sub(" ", strip_end(text)[0]).strip(PAD)
