@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import checkpoint
 
@@ -25,14 +28,31 @@ def draw_table(clusters: DataFrame, cluster: str, reps: int, seed: int, *keys: s
     lists: dict[tuple, list] = {}
     for r in clusters.select(*keys, cluster).filter(f"{cluster} IS NOT NULL").distinct().orderBy(cluster).collect():
         lists.setdefault(tuple(r)[:-1], []).append(r[-1])
-    frames = []
+    kinds = [*((k, clusters.schema[k].dataType) for k in keys), ("rep", IntegerType()), (cluster, clusters.schema[cluster].dataType), ("weight", IntegerType())]
+    schema = to_arrow_schema(StructType([StructField(n, t) for n, t in kinds]))
+    tables = []
     for key, names in lists.items():
-        rng, places, all_ = random.Random(seed), range(len(names)), pd.Series(names)
-        for rep in range(reps):
-            picked, counts = np.unique([rng.choice(places) for _ in places], return_counts=True)
-            frames.append(pd.DataFrame({**dict(zip(keys, key, strict=True)), "rep": rep, cluster: all_.to_numpy()[picked], "weight": counts}))
-    kinds = [*(f"{k} {clusters.schema[k].dataType.simpleString()}" for k in keys), "rep int", f"{cluster} {clusters.schema[cluster].dataType.simpleString()}", "weight int"]
-    return clusters.sparkSession.createDataFrame(pd.concat(frames, ignore_index=True).astype({"rep": "int32", "weight": "int32"}) if frames else [], ", ".join(kinds))
+        n = len(names)
+        held = np.bincount((np.arange(reps)[:, None] * n + python_choices(n, reps * n, seed).reshape(reps, n)).ravel(), minlength=reps * n)
+        at = np.flatnonzero(held)
+        columns = [*(pa.repeat(pa.scalar(v, schema.field(k).type), len(at)) for k, v in zip(keys, key, strict=True)), pa.array(at // n, pa.int32()), pa.array(names, schema.field(cluster).type).take(pa.array(at % n)), pa.array(held[at], pa.int32())]
+        tables.append(pa.Table.from_arrays(columns, schema=schema))
+    return clusters.sparkSession.createDataFrame(pa.concat_tables(tables) if tables else schema.empty_table())
+
+
+def python_choices(n: int, count: int, seed: int) -> np.ndarray:
+    """The first ``count`` places that ``random.Random(seed).choice`` draws among ``n``, made at once.
+
+    The generator takes as many high bits of a 32-bit word as n has, and draws again while they are n or more.
+    """
+    state = random.Random(seed).getstate()[1]
+    words, bits, out, have = np.random.RandomState(), n.bit_length(), [], 0
+    words.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    while have < count:
+        raw = words._bit_generator.random_raw(int((count - have) * 2**bits / n) + 64) >> np.uint64(32 - bits)
+        out.append(raw[raw < n])
+        have += len(out[-1])
+    return np.concatenate(out)[:count].astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 def poisson_draws(sums: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:

@@ -46,3 +46,9 @@ def test_many_clusters_get_poisson_weights(spark, monkeypatch):
     poisson = bootstrap.rate_interval(df, "c", F.col("hit"), reps=1000, seed=1).first()
     assert poisson["reps"] == 1000 and poisson["estimate"] == drawn["estimate"]
     assert (poisson["low"], poisson["high"]) == pytest.approx((drawn["low"], drawn["high"]), abs=0.012)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
+def test_choices_are_those_of_the_plain_generator(n):
+    rng = random.Random(n + 5)
+    assert bootstrap.python_choices(n, 3000, n + 5).tolist() == [rng.choice(range(n)) for _ in range(3000)]
